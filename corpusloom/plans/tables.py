@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, root.name), "zip", root.parent, root.name))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name below the folder, one Parquet file or folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
