@@ -35,7 +35,6 @@ SLACK = 1.2
 BUCKET = 1_200_000
 #: Cells in which document frequencies are added up for the costs.
 CELLS = 1 << 16
-WORDS64 = 8  # 64-bit words of a set's bitmap
 
 codes = Keys(word_code)
 _U = np.uint64
@@ -60,24 +59,37 @@ def as_set(text: str) -> np.ndarray:
     return np.sort(mix(a + (np.arange(len(a)) - start).astype(_U) * _U(0xA24BAED4963EE407), 17))
 
 
-def bitmap(a: np.ndarray) -> np.ndarray:
-    """Parities of the set's members folded onto 512 bits: two sets differ in at least as many members as their bitmaps differ in bits."""
-    bits = (np.bincount((a & _U(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
+def bitmaps(doc: np.ndarray, tok: np.ndarray, docs: int, width: int) -> np.ndarray:
+    """A row of 64-bit words for each document: parities of its members folded onto so many words. Two sets differ in at least as many members as their
+    bitmaps differ in bits."""
+    bits = doc.astype(np.int64) * (64 * width) + (mix(tok, 61) % _U(64 * width)).astype(np.int64)
+    odd = (np.bincount(bits, minlength=docs * 64 * width) & 1).astype(np.uint8)
+    return np.packbits(odd).view(_U).reshape(docs, width)
+
+
+def width_of(band: int) -> int:
+    """64-bit words of the bitmaps of a band: twice as many bits as the largest set has members, so that strangers differ in far more than similar sets."""
+    return max(4, -(-2 * int(band_end(np.int64(band))) // 64))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) of the rows with text."""
     for b in slices(batches):
-        ids, key, n, toks = [], [], [], []
-        for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-            if i is not None and t and not t.isspace():
-                a = as_set(t)
-                raw = a.tobytes()
-                ids.append(i)
-                key.append(xxhash.xxh3_128_digest(raw))
-                n.append(len(a))
-                toks.append(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(toks, pa.binary())], ["id", "bag", "n", "words"])
+        rows = [(i, as_set(t).tobytes()) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) if i is not None and t and not t.isspace()]
+        c = list(zip(*rows)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary())], ["id", "words"])
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, bag, n) of the rows with text; and of each task rows (cell, n) with the document frequencies of the cells of words."""
+    cells = np.zeros(CELLS, np.int64)
+    for b in _sets(batches):
+        raw = b.column("words").to_pylist()
+        if raw:
+            cells += np.bincount((np.frombuffer(b"".join(raw), _U) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array([len(x) // 8 for x in raw], pa.int64()), pa.nulls(len(raw), pa.int32())], ["id", "bag", "n", "cell"])
+    at = np.flatnonzero(cells)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(cells[at]), pa.array(at.astype(np.int32))], ["id", "bag", "n", "cell"])
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
@@ -143,14 +155,15 @@ def entries(n: np.ndarray, doc: np.ndarray, tok: np.ndarray, band: np.ndarray, b
 
 def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, percent: int, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "words"):
-        ids = b.column("id").to_numpy()
-        n = b.column("n").to_numpy().astype(np.int64)
+        ids, raw = b.column("id").to_numpy(), b.column("words").to_pylist()
+        n = np.array([len(x) // 8 for x in raw], np.int64)
+        # sets so small that any difference is too much are equal if similar
+        ids, n = ids[n >= 100 // (100 - percent)], n[n >= 100 // (100 - percent)]
         if not len(ids):
             continue
-        tok = np.frombuffer(b"".join(b.column("words").to_pylist()), _U)
+        tok = np.frombuffer(b"".join(x for x in raw if len(x) // 8 >= 100 // (100 - percent)), _U)
         doc = np.repeat(np.arange(len(n)), n)
         band = band_of(n)
-        maps = np.stack([bitmap(np.frombuffer(x, _U)) for x in b.column("words").to_pylist()])
         key, owner, kind = entries(n, doc, tok, band, 2 * (n - shared(n, percent)) + 1, df, total, percent, True)
         scheme = band[owner]
         # documents whose shorter partners may lie in the band below probe there, too
@@ -169,9 +182,16 @@ def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, perc
         key, owner, kind, bucket = key[order].astype(np.uint32), owner[order], kind[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         out = []
+        maps, base = {}, np.concatenate([[0], np.cumsum(n)])
         for s, e in zip(cuts, [*cuts[1:], len(bucket)]):
             who, count = np.unique(owner[s:e], return_counts=True)
-            out.append((int(bucket[s]), ids[who].tobytes(), n[who].astype(np.int32).tobytes(), maps[who].tobytes(), count.astype(np.int32).tobytes(), key[s:e].tobytes(), kind[s:e].tobytes()))
+            at = int(np.searchsorted(buckets, bucket[s], "right")) - 1
+            if at not in maps:  # of all documents of the band or the one above, in their order
+                some = np.flatnonzero((band == at) | (band == at + 1))
+                inside = np.concatenate([np.arange(base[k], base[k + 1]) for k in some])
+                maps[at] = some, bitmaps(np.repeat(np.arange(len(some)), n[some]), tok[inside], len(some), width_of(at))
+            some, rows = maps[at]
+            out.append((int(bucket[s]), ids[who].tobytes(), n[who].astype(np.int32).tobytes(), rows[np.searchsorted(some, who)].tobytes(), count.astype(np.int32).tobytes(), key[s:e].tobytes(), kind[s:e].tobytes()))
         c = list(zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], ["bucket", *INDEX])
 
@@ -183,7 +203,8 @@ def _meet(t: pa.Table, percent: int) -> pa.Table:
     """The candidate pairs of a bucket: entries with one key, the longer document's one probing, whose bitmaps don't rule the pair out."""
     cat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
     count = cat("counts", np.int32)
-    doc_ids, doc_n, maps = cat("ids", np.int64), cat("sizes", np.int32), cat("maps", _U).reshape(-1, WORDS64)
+    doc_ids, doc_n, maps = cat("ids", np.int64), cat("sizes", np.int32), cat("maps", _U)
+    maps = maps.reshape(len(doc_n), -1)
     row = np.repeat(np.arange(len(count), dtype=np.int32), count)
     key, kind = cat("keys", np.uint32), cat("kinds", np.uint8)
     order = np.argsort(key, kind="stable")
@@ -194,7 +215,7 @@ def _meet(t: pa.Table, percent: int) -> pa.Table:
     group = np.cumsum(first) - 1
     probing = np.flatnonzero((kind & 2 > 0) & (length[group] > 1))
     found = []
-    at, most = 0, 500_000
+    at, most = 0, max(1000, 4_000_000 // maps.shape[1])
     steps = length[group[probing]]
     ends = np.cumsum(steps)
     while at < len(probing):  # so many pairs at a time
@@ -221,17 +242,6 @@ def _meet(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": lo, "b": hi})
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
-    for b in batches:
-        for raw in b.column("words").to_pylist():
-            total += np.bincount((np.frombuffer(raw, _U) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(raw) > 8 * CELLS // 64 else 0
-            if len(raw) <= 8 * CELLS // 64:
-                np.add.at(total, (np.frombuffer(raw, _U) & _U(CELLS - 1)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "df"])
-
-
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -247,31 +257,31 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text"):
         """Null, empty and blank texts, and null ids, belong to no class; texts of punctuation only are one class. Ids are unique."""
-        sets = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _sets(it), "id bigint, bag binary, n int, words binary")
-        # one representative of a class: the least id; copies are pre-aggregated before the shuffle
-        self.bags = sets.select("id", "bag")
-        self.reps = cut(sets.groupBy("bag").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("words").alias("words")))
-        self.members = self.bags.join(self.reps.select("bag", F.col("id").alias("rep")), "bag").select("id", "rep")
-        self.links = self._links(percent)
-
-    def _links(self, percent: int) -> DataFrame:
-        # below five words a difference leaves less than 80 per cent; in general sets that can't differ are classes already
-        least = 100 // (100 - percent)
-        reps = self.reps.where(F.col("n") >= least).select("id", "n", "words")
-        total = reps.count()
+        rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        first = cut(rows.mapInArrow(lambda it: _bags(it), "id bigint, bag binary, n bigint, cell int"))
+        bags = first.where("cell is null").select("id", "bag", "n")
+        # one representative of a class, the least id; copies are pre-aggregated before the shuffle
+        reps = bags.groupBy("bag").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+        self.members = bags.select("id", "bag").join(reps.select("bag", "rep"), "bag").select("id", "rep")
+        self.links = self._links(rows.mapInArrow(lambda it: _sets(it), "id bigint, words binary"), reps, first, percent)
+
+    def _links(self, sets: DataFrame, reps: DataFrame, first: DataFrame, percent: int) -> DataFrame:
         df = np.zeros(CELLS)
-        for r in reps.mapInArrow(lambda it: _cells(it), "cell bigint, df bigint").groupBy("cell").agg(F.sum("df").alias("df")).collect():  # CELLS rows at most
+        for r in first.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("df")).collect():  # CELLS rows at most
             df[r["cell"]] = r["df"]
-        # entries by band: at most some sixty rows
-        band = F.floor(F.log(F.col("n")) / np.log(BAND) + 1e-9)
-        of = {r[0]: r[1] for r in reps.groupBy(band.alias("band")).agg(F.sum("n")).collect()}
-        most = max(of, default=0)
-        size = [1.25 * of.get(k, 0) + 0.6 * of.get(k + 1, 0) for k in range(most + 1)]
-        buckets = np.concatenate([[0], np.cumsum([max(1, round(x / BUCKET)) for x in size])]).astype(np.int64)
-        index = reps.mapInArrow(lambda it: _index(it, df, max(1, total), percent, buckets), "bucket int, " + ", ".join(f"{x} binary" for x in INDEX))
+        # classes and words by band: at most some sixty rows
+        band = F.floor(F.log(F.col("n")) / float(np.log(BAND)) + 1e-9).cast("int")
+        of = {r[0]: (r[1], r[2]) for r in reps.where("n > 0").groupBy(band.alias("band")).agg(F.sum("n"), F.count("*")).collect()}
+        total = max(1, sum(x[1] for x in of.values()))
+        words = [of.get(k, (0, 0))[0] for k in range(max(of, default=0) + 2)]
+        buckets = np.concatenate([[0], np.cumsum([max(1, round((1.25 * a + 0.6 * b) / BUCKET)) for a, b in zip(words, words[1:])])]).astype(np.int64)
+        # the sets go over the network once, by id: for the index and again for the verification
+        mine = sets.join(reps.select(F.col("rep").alias("id")), "id").select("id", "words")
+        index = mine.mapInArrow(lambda it: _index(it, df, total, percent, buckets), "bucket int, " + ", ".join(f"{x} binary" for x in INDEX))
         close = index.groupBy("bucket").applyInArrow(lambda t: _meet(t, percent), "a bigint, b bigint").distinct()
-        words = lambda s: reps.select(F.col("id").alias(s), F.col("words").alias(f"w{s}"))
-        return close.join(words("a"), "a").join(words("b"), "b").select("a", "b", "wa", "wb").mapInArrow(lambda it: _verify(it, percent), "a bigint, b bigint")
+        sides = close.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+        pairs = sides.join(sets, "id").groupBy("a", "b").agg(F.min_by("words", "id").alias("wa"), F.max_by("words", "id").alias("wb"))
+        return pairs.mapInArrow(lambda it: _verify(it, percent), "a bigint, b bigint")
 
 
 def similar_pairs(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
