@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut
 from .arrow import slices
 from .confusables import Keys, fold
 from .labels import lang_code, source_key
@@ -105,7 +106,7 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     """
     rows = docs.select(F.col(id).alias("id"), source_key(F.col("source")).alias("source"), F.coalesce(lang_code(F.col("lang")), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     counts = rows.select("lang", "text").mapInArrow(lambda it: _counts(it), "what string, lang string, w string, k int, n bigint, ends bigint")
-    counts = counts.groupBy("what", "lang", "w", "k").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    counts = cut(counts.groupBy("what", "lang", "w", "k").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
     words = counts.where("what = 'word'")
     base = words.groupBy("lang").agg(F.log((F.sum("ends") + 0.5) / (F.sum(F.col("n") * F.length("w")) + 0.5)).alias("base"))  # a row for each language
     # places in a word: after its first characters it went on; after the last one it went on unless the line ended
@@ -115,7 +116,7 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     places = places.select(F.expr(f"substring(w, greatest(at + 2 - {ORDER}, 1), least({ORDER}, at + 1))").alias("c"), F.when(whole, F.col("n") - F.col("ends")).otherwise(F.col("n")).alias("on"), F.when(whole, F.col("ends")).otherwise(0).alias("ends"))
     longest = places.groupBy("c").agg(F.sum("on").alias("on"), F.sum("ends").alias("ends"))
     model = longest.select(F.explode(F.sequence(F.lit(1), F.length("c"))).alias("k"), "c", "on", "ends").select("k", F.expr("right(c, k)").alias("c"), "on", "ends").groupBy("k", "c").agg(F.sum("on").alias("on"), F.sum("ends").alias("ends"))
-    finals = rows.mapInArrow(lambda it: _finals(it), "id bigint, source string, lang string, context string, headline boolean, first string, short int")
+    finals = cut(rows.mapInArrow(lambda it: _finals(it), "id bigint, source string, lang string, context string, headline boolean, first string, short int"))
     contexts = finals.groupBy("lang", "context").agg(F.count("*").alias("documents"))
     tails = contexts.select("lang", "context", F.explode(F.sequence(F.lit(1), F.length("context"))).alias("k")).withColumn("c", F.expr("right(context, k)"))
     known = tails.join(model, ["k", "c"]).groupBy("lang", "context").agg(F.sort_array(F.collect_list(F.struct("k", "ends", "on"))).alias("seen"))
