@@ -8,8 +8,6 @@ Each distinct piece is encoded once per task and weighted by its frequency.
 
 from __future__ import annotations
 
-import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,89 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.encode import Encoder
 from .arrow import slices
 from .confusables import Keys
 from .labels import lang_code, source_key
 
 
-class Encoder:
-    """The tokenizer's rules for one piece."""
-
-    def __init__(self, token_to_id: dict[str, int], merges: list, separator: str = "@@", core: str = "ఀ-౿", unk: int = 1):
-        self.ids, self.sep, self.unk = token_to_id, separator, unk
-        self.rank = {(m[0], m[1]): r for r, m in enumerate(merges)}
-        self.core = re.compile(f"[{core}]")
-        self.runs = re.compile(f"[{core}]+|[^{core}]+")
-
-    def merged(self, word: str) -> list[str]:
-        """The symbols that are left of a word: while a pair can be merged, all pairs of the lowest rank are, from left to right."""
-        sym = list(word)
-        n = len(sym)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get((sym[i], sym[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, places = heap[0][0], []
-            while heap and heap[0][0] == rank:
-                places.append(heapq.heappop(heap)[1])
-            changed = []
-            for i in places:
-                j = after[i]
-                if sym[i] is None or j < 0 or self.rank.get((sym[i], sym[j])) != rank:
-                    continue
-                sym[i], sym[j] = sym[i] + sym[j], None
-                after[i] = after[j]
-                if after[j] >= 0:
-                    before[after[j]] = i
-                changed.append(i)
-            for i in changed:
-                if sym[i] is None:
-                    continue
-                for a in (before[i], i):
-                    if a >= 0 and after[a] >= 0 and (r := self.rank.get((sym[a], sym[after[a]]))) is not None:
-                        heapq.heappush(heap, (r, a))
-        return [s for s in sym if s is not None]
-
-    def _chars(self, bare: str, continued: bool) -> list[int]:
-        ids = [self.ids.get(c + self.sep, self.unk) for c in bare[:-1]]
-        if bare:
-            last = self.ids.get(bare[-1], self.unk)
-            ids.append(self.ids.get(bare[-1] + self.sep, last) if continued else last)
-        return ids
-
-    def token(self, token: str) -> list[int]:
-        """Ids of one token, which may end in the separator."""
-        if (i := self.ids.get(token)) is not None:
-            return [i]
-        continued = token.endswith(self.sep)
-        bare = token[: -len(self.sep)] if continued else token
-        if self.core.search(bare):
-            return self._chars(bare, continued)
-        symbols, ids = self.merged(bare), []
-        for k, s in enumerate(symbols):
-            last = k == len(symbols) - 1
-            if (i := self.ids.get(s if last else s + self.sep)) is not None:
-                ids.append(i)
-            elif last:
-                ids += self._chars(s, False)
-            else:
-                ids += [self.ids.get(c + self.sep, self.unk) for c in s]
-        if continued and ids:
-            tail = symbols[-1] + self.sep
-            if tail in self.ids and ids[-1] == self.ids.get(symbols[-1]):
-                ids[-1] = self.ids[tail]
-        return ids
-
-    def piece(self, piece: str) -> list[int]:
-        """Ids of a whitespace-separated piece."""
-        if (i := self.ids.get(piece)) is not None:
-            return [i]
-        if not self.core.search(piece):
-            return self.token(piece)
-        runs = self.runs.findall(piece)
-        return [i for r in [*(r if r.endswith(self.sep) else r + self.sep for r in runs[:-1]), runs[-1]] for i in self.token(r)]
-
-
 @lru_cache(2)
 def _encoder(spec: tuple) -> tuple[Encoder, Keys]:
     ids, merges, sep, core, unk = spec
