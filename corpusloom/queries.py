@@ -326,8 +326,8 @@ def encode_wordlevel_unk(s, d):
     return encode.word_level(_docs(s, d), encode.vocabulary(table(s, d, "tokenizer"))).select("doc_id", _shown(F.col("ids")).alias("ids"))
 
 
-_DECODED = f"""{_ENC}, at AS (SELECT doc_id, unnest(ids) AS tid, generate_subscripts(ids, 1) AS pos FROM enc),
-dec AS (SELECT doc_id, replace(string_agg(coalesce(voc.token, '<unk>'), ' ' ORDER BY pos), '@@ ', '') AS text FROM at LEFT JOIN voc ON voc.id = at.tid WHERE tid NOT IN (0, 2, 3) GROUP BY doc_id)"""
+_DECODED = f"""{_ENC}, ix AS (SELECT doc_id, unnest(ids) AS tid, generate_subscripts(ids, 1) AS pos FROM enc),
+dec AS (SELECT doc_id, replace(string_agg(coalesce(voc.token, '<unk>'), ' ' ORDER BY pos), '@@ ', '') AS text FROM ix LEFT JOIN voc ON voc.id = ix.tid WHERE tid NOT IN (0, 2, 3) GROUP BY doc_id)"""
 
 
 @query(f"WITH {_DECODED} SELECT doc_id, text FROM dec")
@@ -426,10 +426,10 @@ def pack_blocks(s, d):
     return pack.blocks(_stream(s, d), BLOCK).select("block_id", _shown(F.col("ids")).alias("ids"))
 
 
-_CUT = f"{_STREAM}, tt AS (SELECT CAST(sum(len(ids)) AS BIGINT) AS total FROM st), cc AS (SELECT total - CAST(floor(total * {SHARE}) AS BIGINT) AS at FROM tt)"
+_CUT = f"{_STREAM}, tt AS (SELECT CAST(sum(len(ids)) AS BIGINT) AS total FROM st), cc AS (SELECT tt.total - CAST(floor(total * {SHARE}) AS BIGINT) AS cut_at FROM tt)"
 
 
-@query(f"""WITH {_CUT}, z AS (SELECT doc_id, len(ids) AS n, least(greatest(at - start, 0), len(ids)) AS train FROM st, cc)
+@query(f"""WITH {_CUT}, z AS (SELECT doc_id, len(ids) AS n, least(greatest(cut_at - start, 0), len(ids)) AS train FROM st, cc)
 SELECT doc_id, 'train' AS split, CAST(train AS BIGINT) AS n FROM z WHERE train > 0 UNION ALL SELECT doc_id, 'val', CAST(n - train AS BIGINT) FROM z WHERE n > train""")
 def train_val_split(s, d):
     return pack.tail_split(_stream(s, d), SHARE)
@@ -452,7 +452,7 @@ def context_truncate(s, d):
     return pack.last_ids(_encoded(s, d), 32).select("doc_id", _shown(F.col("ids")).alias("ids"))
 
 
-@query(f"""WITH {_CUT} SELECT t.vocab_size, 256 AS block_size, at AS train_tokens, total - at AS val_tokens, total AS total_tokens, 'uint32' AS dtype FROM cc, tt, tokenizer t""")
+@query(f"""WITH {_CUT} SELECT t.vocab_size, 256 AS block_size, cut_at AS train_tokens, tt.total - cut_at AS val_tokens, tt.total AS total_tokens, 'uint32' AS dtype FROM cc, tt, tokenizer t""")
 def stream_metadata(s, d):
     """The prepared stream's record."""
     split = pack.tail_split(_stream(s, d), SHARE)

@@ -76,8 +76,12 @@ def read_tokenizer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A folder of Parquet files as a stream of the files that arrive."""
-    return spark.readStream.schema(schema).parquet(path)
+    """A folder of Parquet files, or a single file of a folder, as a stream of the files that arrive."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    read = spark.readStream.schema(schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return read.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return read.parquet(path)
 
 
 def subset(docs: DataFrame, names: list[str]) -> DataFrame:
