@@ -150,7 +150,8 @@ def _contained(batches: Iterator[pa.RecordBatch], samples: tuple) -> Iterator[pa
         pair, n = np.unique(doc[ok] * len(LANGS) + best[ok], return_counts=True)
         most = np.zeros(len(b) * len(LANGS))
         np.maximum.at(most, doc[ok] * len(LANGS) + best[ok], conf[ok])
-        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(pair // len(LANGS))), pa.array([LANGS[g] for g in pair % len(LANGS)], pa.string()), pa.array(n), pa.array(most[pair])], ["id", "lang", "sentences", "confidence"])
+        row = pa.array(pair // len(LANGS))
+        yield pa.RecordBatch.from_arrays([b.column("id").take(row), b.column("named").take(row), pa.array([LANGS[g] for g in pair % len(LANGS)], pa.string()), pa.array(n), pa.array(most[pair])], ["id", "named", "lang", "sentences", "confidence"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], samples: tuple) -> Iterator[pa.RecordBatch]:
@@ -193,16 +194,20 @@ def samples_of(samples: DataFrame) -> tuple:
     return tuple((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
 
 
-def contained(docs: DataFrame, samples: tuple, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, lang, sentences, confidence): each language in which a document has a whole sentence or line of LEAST_WORDS words or more."""
+def contained(docs: DataFrame, samples: tuple) -> DataFrame:
+    """(doc_id, named, lang, sentences, confidence): each language in which a row has a whole sentence or line of LEAST_WORDS words or more.
+
+    named is the code that the row's label names, null for a missing or unknown label. Null, empty and blank texts contain none; a repeated row has rows
+    of its own.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(samples)
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _contained(it, sent.value), "id bigint, lang string, sentences bigint, confidence double").withColumnRenamed("id", id)
+    rows = docs.select(F.col("doc_id").alias("id"), lang_code(F.col("lang")).alias("named"), "text")
+    return rows.mapInArrow(lambda it: _contained(it, sent.value), "id bigint, named string, lang string, sentences bigint, confidence double").withColumnRenamed("id", "doc_id")
 
 
 def unnamed(docs: DataFrame, samples: tuple) -> DataFrame:
-    """(doc_id, lang) of each language that a document contains and its label doesn't name. Ids are unique; documents without text have none."""
-    named = docs.select("doc_id", lang_code(F.col("lang")).alias("named"))
-    return contained(docs, samples).join(named, "doc_id").where(~F.col("lang").eqNullSafe(F.col("named"))).select("doc_id", "lang")
+    """(doc_id, lang) of each language that a document contains and its label doesn't name."""
+    return contained(docs, samples).where(~F.col("lang").eqNullSafe(F.col("named"))).select("doc_id", "lang").distinct()
 
 
 def segments(docs: DataFrame, samples: tuple, id: str = "doc_id", text: str = "text") -> DataFrame:

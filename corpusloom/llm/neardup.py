@@ -157,11 +157,12 @@ def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, perc
     for b in slices(batches, "words"):
         ids, raw = b.column("id").to_numpy(), b.column("words").to_pylist()
         n = np.array([len(x) // 8 for x in raw], np.int64)
-        # sets so small that any difference is too much are equal if similar
-        ids, n = ids[n >= 100 // (100 - percent)], n[n >= 100 // (100 - percent)]
+        # sets so small that no longer set and no different one can be similar are left out
+        some = n * 100 // percent > n
+        ids, n, raw = ids[some], n[some], [x for x, k in zip(raw, some) if k]
         if not len(ids):
             continue
-        tok = np.frombuffer(b"".join(x for x in raw if len(x) // 8 >= 100 // (100 - percent)), _U)
+        tok = np.frombuffer(b"".join(raw), _U)
         doc = np.repeat(np.arange(len(n)), n)
         band = band_of(n)
         key, owner, kind = entries(n, doc, tok, band, 2 * (n - shared(n, percent)) + 1, df, total, percent, True)
@@ -187,11 +188,11 @@ def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, perc
             who, count = np.unique(owner[s:e], return_counts=True)
             at = int(np.searchsorted(buckets, bucket[s], "right")) - 1
             if at not in maps:  # of all documents of the band or the one above, in their order
-                some = np.flatnonzero((band == at) | (band == at + 1))
-                inside = np.concatenate([np.arange(base[k], base[k + 1]) for k in some])
-                maps[at] = some, bitmaps(np.repeat(np.arange(len(some)), n[some]), tok[inside], len(some), width_of(at))
-            some, rows = maps[at]
-            out.append((int(bucket[s]), ids[who].tobytes(), n[who].astype(np.int32).tobytes(), rows[np.searchsorted(some, who)].tobytes(), count.astype(np.int32).tobytes(), key[s:e].tobytes(), kind[s:e].tobytes()))
+                those = np.flatnonzero((band == at) | (band == at + 1))
+                inside = np.concatenate([np.arange(base[k], base[k + 1]) for k in those])
+                maps[at] = those, bitmaps(np.repeat(np.arange(len(those)), n[those]), tok[inside], len(those), width_of(at))
+            those, rows = maps[at]
+            out.append((int(bucket[s]), ids[who].tobytes(), n[who].astype(np.int32).tobytes(), rows[np.searchsorted(those, who)].tobytes(), count.astype(np.int32).tobytes(), key[s:e].tobytes(), kind[s:e].tobytes()))
         c = list(zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], ["bucket", *INDEX])
 
@@ -256,13 +257,16 @@ class NearDuplicates:
     """members: (id, rep), every document with words and its class of equal bags; links: (a, b), a < b, the similar pairs of classes."""
 
     def __init__(self, docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text"):
-        """Null, empty and blank texts, and null ids, belong to no class; texts of punctuation only are one class. Ids are unique."""
+        """Null, empty and blank texts, and null ids, belong to no class; texts of punctuation only are one class.
+
+        Rows that repeat an id and its text count once.
+        """
         rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
         first = cut(rows.mapInArrow(lambda it: _bags(it), "id bigint, bag binary, n bigint, cell int"))
         bags = first.where("cell is null").select("id", "bag", "n")
         # one representative of a class, the least id; copies are pre-aggregated before the shuffle
         reps = bags.groupBy("bag").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-        self.members = bags.select("id", "bag").join(reps.select("bag", "rep"), "bag").select("id", "rep")
+        self.members = bags.select("id", "bag").join(reps.select("bag", "rep"), "bag").select("id", "rep").distinct()
         self.links = self._links(rows.mapInArrow(lambda it: _sets(it), "id bigint, words binary"), reps, first, percent)
 
     def _links(self, sets: DataFrame, reps: DataFrame, first: DataFrame, percent: int) -> DataFrame:
