@@ -51,7 +51,7 @@ def read_corpus(spark: SparkSession, path: str, exclude: str | None = None) -> D
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     """(word, n) of `count word` lines; others are skipped."""
     parts = F.split("value", " ", 2)
-    return spark.read.text(path).select(parts[1].alias("word"), F.expr("try_cast(split(value, ' ', 2)[0] AS BIGINT)").alias("n")).where("word IS NOT NULL AND word <> '' AND n IS NOT NULL")
+    return spark.read.text(path).select(F.get(parts, F.lit(1)).alias("word"), F.expr("try_cast(split(value, ' ', 2)[0] AS BIGINT)").alias("n")).where("word IS NOT NULL AND word <> '' AND n IS NOT NULL")
 
 
 def read_counts(spark: SparkSession, path: str, name: str = "morpheme") -> DataFrame:
