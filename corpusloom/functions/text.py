@@ -41,6 +41,11 @@ def runs(piece: Column, profile: ScriptProfile = TELUGU) -> Column:
     return F.regexp_extract_all(piece, F.lit(f"([{profile.chars}]+|[^{profile.chars}]+)"), F.lit(1))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def has_core(piece: Column, profile: ScriptProfile = TELUGU) -> Column:
     return piece.rlike(f"[{profile.chars}]")
 
@@ -52,8 +57,8 @@ def token_class(piece: Column, profile: ScriptProfile = TELUGU) -> Column:
 
 def marked(parts: Column, sep: str = SEP) -> Column:
     """All parts but the last with the continuation mark, unless they end in it."""
-    last = F.size(parts) - 1
-    return F.transform(parts, lambda x, i: F.when((i < last) & ~F.endswith(x, F.lit(sep)), F.concat(x, F.lit(sep))).otherwise(x))
+    head = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.when(F.endswith(x, F.lit(sep)), x).otherwise(F.concat(x, F.lit(sep))))
+    return F.concat(head, F.slice(parts, -1, 1))
 
 
 def is_continued(token: Column, sep: str = SEP) -> Column:
@@ -83,10 +88,10 @@ def segmented(text: Column, segment, profile: ScriptProfile = TELUGU, sep: str =
     """
 
     def one(p: Column) -> Column:
+        if not split_mixed:
+            return F.when(p.rlike(f"^[{profile.chars}]+$"), let(segment(p), lambda x: marked(x, sep))).otherwise(F.array(p))
         parts = F.flatten(F.transform(runs(p, profile), lambda r: F.when(has_core(r, profile), segment(r)).otherwise(F.array(r))))
-        if split_mixed:
-            return marked(parts, sep)
-        return F.when(p.rlike(f"^[{profile.chars}]+$"), marked(parts, sep)).otherwise(F.array(p))
+        return F.when(has_core(p, profile), let(parts, lambda x: marked(x, sep))).otherwise(F.array(p))
 
     return F.flatten(F.transform(pieces(text), one))
 

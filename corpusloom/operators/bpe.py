@@ -11,6 +11,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut
+
 #: Distinct words that the loop takes; beyond, raise the least frequency.
 MOST_WORDS = 5_000_000
 
@@ -72,10 +74,10 @@ def merges_of(words: dict[str, int], merges: int, lazy: bool = False) -> tuple[l
 def train(words: DataFrame, merges: int = 8000, min_freq: int = 5, lazy: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rank, left, right) and (subword, frequency) from (word, n)."""
     spark = words.sparkSession
-    kept = words.where((F.col("n") >= min_freq) & (F.col("word") != ""))
+    kept = cut(words.where((F.col("n") >= min_freq) & (F.col("word") != "")).select("word", "n"))
     if (n := kept.count()) > MOST_WORDS:
         raise ValueError(f"{n} words; raise min_freq so that at most {MOST_WORDS} are left")
-    done, left = merges_of({r[0]: r[1] for r in kept.select("word", "n").toLocalIterator()}, merges, lazy)
+    done, left = merges_of({r[0]: r[1] for r in kept.collect()}, merges, lazy)
     return (
         spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(done)], "rank int, left string, right string"),
         spark.createDataFrame(sorted(left.items()), "subword string, frequency bigint"),

@@ -28,25 +28,31 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def segmented_counts(docs: DataFrame, segment, profile=t.TELUGU) -> DataFrame:
+    """(token, n) of the segmented texts: each distinct piece is segmented once and weighted by its count."""
+    tokens = t.segmented(F.col("token"), segment, profile)
+    return piece_counts(docs).select(F.explode(tokens).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def top(counts: DataFrame, key: str, n: int, least_first: bool = False) -> DataFrame:
     """The n most (or least) frequent, ties by code points. The limit is what is asked for."""
     return counts.orderBy(F.asc("n") if least_first else F.desc("n"), key).limit(n)
 
 
 def other_counts(tokens: DataFrame, profile=t.TELUGU) -> DataFrame:
-    """(base, n) of the tokens without core letters, their marks taken off."""
-    base = token_counts(tokens).select(t.base_form(F.col("token")).alias("base"), "n")
+    """(base, n) of the counted tokens (token, n) without core letters, their marks taken off."""
+    base = tokens.select(t.base_form(F.col("token")).alias("base"), "n")
     return base.where(~t.has_core(F.col("base"), profile)).groupBy("base").agg(F.sum("n").alias("n"))
 
 
 def core_counts(tokens: DataFrame, profile=t.TELUGU) -> DataFrame:
-    """(token, n) of the tokens with core letters, marks kept."""
-    return token_counts(tokens).where(t.has_core(t.base_form(F.col("token")), profile))
+    """(token, n) of the counted tokens with core letters, marks kept."""
+    return tokens.where(t.has_core(t.base_form(F.col("token")), profile))
 
 
 def kept_ratios(tokens: DataFrame, profile=t.TELUGU) -> DataFrame:
-    """One row: all tokens, those with core letters, their share and their types; 0 on an empty table."""
-    c = token_counts(tokens).withColumn("core", t.has_core(t.base_form(F.col("token")), profile))
+    """One row for counted tokens: all, those with core letters, their share and their types; 0 on an empty table."""
+    c = tokens.withColumn("core", t.has_core(t.base_form(F.col("token")), profile))
     kept = F.coalesce(F.sum(F.when(F.col("core"), F.col("n"))), F.lit(0))
     total = F.coalesce(F.sum("n"), F.lit(0))
     return c.agg(total.alias("total"), kept.alias("kept"), F.round(F.coalesce(F.try_divide(kept * 100, total), F.lit(0.0)), 6).alias("pct"), F.count_if("core").alias("types"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.tables import cut
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id): each document with text and the least id of those equal but for case and white space. Blank texts are equal to each other."""
     norm = F.md5(F.lower(F.array_join(t.pieces(F.col("text")), " ")))
-    keyed = docs.where("text IS NOT NULL").select("doc_id", norm.alias("h"))
+    keyed = cut(docs.where("text IS NOT NULL").select("doc_id", norm.alias("h")))  # hashes only: the texts are read once
     least = keyed.groupBy("h").agg(F.min("doc_id").alias("keep_id"))  # combined in the tasks: a hot text sends one row each
     return keyed.join(least, "h").select("doc_id", "keep_id")
 

@@ -86,6 +86,10 @@ def _segmented(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).where("text IS NOT NULL").select("doc_id", t.segmented(F.col("text"), _split).alias("tokens")).where(F.size("tokens") > 0)
 
 
+def _token_counts(s: SparkSession, d: str) -> DataFrame:
+    return counts.segmented_counts(_docs(s, d), _split)
+
+
 def _split_words(s: SparkSession, d: str) -> DataFrame:
     return _words(s, d).withColumn("parts", _split(F.col("word")))
 
@@ -140,28 +144,28 @@ def whitespace_token_freq(s, d):
 
 @query(f"WITH {_SEG_COUNTS} SELECT base, CAST(sum(n) AS BIGINT) AS n FROM sb WHERE NOT regexp_matches(base, '[{_C}]') GROUP BY base")
 def other_token_freq(s, d):
-    return counts.other_counts(_segmented(s, d))
+    return counts.other_counts(_token_counts(s, d))
 
 
 @query(f"WITH {_SEG_COUNTS} SELECT token, n FROM sb WHERE regexp_matches(base, '[{_C}]')")
 def core_token_freq_marked(s, d):
-    return counts.core_counts(_segmented(s, d))
+    return counts.core_counts(_token_counts(s, d))
 
 
 @query(f"""WITH {_SEG_COUNTS}, x AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (WHERE regexp_matches(base, '[{_C}]')) AS BIGINT) AS kept, count(*) FILTER (WHERE regexp_matches(base, '[{_C}]')) AS types FROM sb)
 SELECT total, kept, round(kept * 100 / total, 6) AS pct, types FROM x""")
 def corpus_token_ratios(s, d):
-    return counts.kept_ratios(_segmented(s, d))
+    return counts.kept_ratios(_token_counts(s, d))
 
 
 @query(f"WITH {_SEG_COUNTS} SELECT ends_with(token, '@@') AS continued, count(*) AS types FROM sb WHERE regexp_matches(base, '[{_C}]') GROUP BY 1")
 def cont_vs_final_types(s, d):
-    return counts.core_counts(_segmented(s, d)).groupBy(t.is_continued(F.col("token")).alias("continued")).agg(F.count("*").alias("types"))
+    return counts.core_counts(_token_counts(s, d)).groupBy(t.is_continued(F.col("token")).alias("continued")).agg(F.count("*").alias("types"))
 
 
 @query(f"WITH {_SEG_COUNTS} SELECT base, CAST(sum(n) AS BIGINT) AS n FROM sb WHERE NOT regexp_matches(base, '[{_C}]') GROUP BY base HAVING sum(n) >= 5")
 def min_freq_filter(s, d):
-    return counts.other_counts(_segmented(s, d)).where("n >= 5")
+    return counts.other_counts(_token_counts(s, d)).where("n >= 5")
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT source FROM sources WHERE data_dir NOT LIKE 'generated/%') GROUP BY source")
@@ -291,7 +295,7 @@ SELECT token, CAST(row_number() OVER (ORDER BY tier, f DESC, o, bare, variant) -
 
 
 def _vocab(s: SparkSession, d: str, cap: int = 0) -> DataFrame:
-    seg = _segmented(s, d)
+    seg = cut(_token_counts(s, d))
     sub = counts.other_counts(seg).where("n >= 5").withColumnRenamed("base", "token")
     return vocab.vocab_ids(counts.core_counts(seg), sub, cap=cap)
 
@@ -367,7 +371,7 @@ _PAIRS = f"{_SEG_COUNTS}, {_OTHER}, pr AS (SELECT string_split(word, '')[i] AS l
 
 
 def _other_words(s: SparkSession, d: str) -> DataFrame:
-    w = counts.other_counts(_segmented(s, d)).where("n >= 5 AND base <> ''")
+    w = counts.other_counts(_token_counts(s, d)).where("n >= 5 AND base <> ''")
     return w.select(F.col("base").alias("word"), counts.symbols(F.col("base")).alias("symbols"), F.col("n").alias("freq"))
 
 
@@ -401,14 +405,14 @@ def bpe_pair_words(s, d):
 @query()
 def bpe_train(s, d):
     """Merges learned from the other tokens."""
-    w = counts.other_counts(_segmented(s, d)).withColumnRenamed("base", "word")
+    w = counts.other_counts(_token_counts(s, d)).withColumnRenamed("base", "word")
     return bpe.train(w, merges=1000)[0]
 
 
 @query()
 def bpe_subwords(s, d):
     """Frequencies of the symbols that are left after the merges."""
-    w = counts.other_counts(_segmented(s, d)).withColumnRenamed("base", "word")
+    w = counts.other_counts(_token_counts(s, d)).withColumnRenamed("base", "word")
     return bpe.train(w, merges=1000)[1]
 
 

@@ -155,7 +155,7 @@ def test_ngrams(spark):
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string, source string, domain string")
     e = spark.createDataFrame([], "doc_id bigint, ids array<int>")
-    tokens = spark.createDataFrame([], "doc_id bigint, tokens array<string>")
+    tokens = spark.createDataFrame([], "token string, n bigint")
     assert counts.core_word_counts(d).count() == 0 and pack.blocks(pack.stream(e), 4).count() == 0
     assert tuple(counts.kept_ratios(tokens).first()) == (0, 0, 0.0, 0)
     assert segment.statistics(spark.createDataFrame([], "word string, n bigint, parts array<string>")).first()["total_word_tokens"] == 0
