@@ -155,16 +155,26 @@ def variant_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     return by_word.unionByName(found.where("value is null").select(F.col("id").alias(id))).distinct()
 
 
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a flag: whether the text holds a suspect word or an odd space."""
+    from .arrow import slices
+
+    for b in slices(batches):
+        odd = [bool(t) and (any(map(suspects.__getitem__, t.split())) or _odd_space.search(t) is not None) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(odd, pa.bool_())], ["id", "text", "odd"])
+
+
 def canonical_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text): every document with its text in the consistent form; ordinary spaces and line breaks stay as they are, null stays null.
 
     Texts without a suspect character pass through without a shuffle. For the others each piece is replaced by its canonical form. Ids are unique.
     """
-    t = F.col(text)
-    suspect = F.coalesce(t.rlike(f"[{_ANY}{_COMPOSING}{SPACES}]") | t.rlike("[\\u0c00-\\u0c7f]") & t.rlike("[\\u0c80-\\u0cff]"), F.lit(False))
-    some = docs.where(suspect).select(id, text)
-    words = suspect_values(some, id, text)
-    found = words.join(canonical_values(words), "value").groupBy(F.col("id").alias(id)).agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("_new"))
+    t = F.col("text")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _flagged(it), "id bigint, text string, odd boolean")
+    some = rows.where("odd").select("id", "text")
+    words = suspect_values(some, "id", "text")
+    found = words.join(canonical_values(words), "value").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("_new"))
     parts = F.regexp_extract_all(t, F.lit(f"({WHITE}|{'[^' + WHITE[1:]})"), F.lit(1))
     replaced = F.when(F.col("_new").isNull(), t).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at("_new", p), p)), ""))
-    return docs.where(~suspect).select(id, text).unionByName(some.join(found, id, "left").select(id, F.translate(replaced, SPACES, " " * len(SPACES)).alias(text)))
+    done = some.join(found, "id", "left").select("id", F.translate(replaced, SPACES, " " * len(SPACES)).alias("text"))
+    return rows.where("NOT odd").select("id", "text").unionByName(done).toDF(id, text)
