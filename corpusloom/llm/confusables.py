@@ -37,6 +37,9 @@ ODD_SPACE = f"[{SPACES}]"
 #: Unicode white space, as Python's str.split() has it.
 WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+#: Parts into which the rows of a hot key are split.
+SALTS = 16
+
 _suspect = re.compile(SUSPECT)
 _presentation = re.compile(f"[{PRESENTATION}]")
 _loose_joiner = re.compile(f"(?<![{VIRAMAS}])[\u200c\u200d]+")
@@ -145,13 +148,23 @@ def canonical_values(values: DataFrame) -> DataFrame:
     )
 
 
+def salted(rows: DataFrame, id: str = "id") -> DataFrame:
+    """The rows with a salt by their id, so that a hot key beside it is spread over SALTS tasks."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int"))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """The rows once for each salt: the other side of a join with salted rows."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def variant_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The ids of the documents that hold a variant: a word other than its canonical form, or a space other than U+0020.
 
     Null, empty and blank texts hold no words; blank ones may hold a space that counts. A repeated id is given once.
     """
     found = suspect_values(docs, id, text)
-    by_word = found.join(canonical_values(found).select("value"), "value", "left_semi").select(F.col("id").alias(id))
+    by_word = salted(found).join(repeated(canonical_values(found)), ["value", "salt"], "left_semi").select(F.col("id").alias(id))
     return by_word.unionByName(found.where("value is null").select(F.col("id").alias(id))).distinct()
 
 
@@ -173,7 +186,7 @@ def canonical_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _flagged(it), "id bigint, text string, odd boolean")
     some = rows.where("odd").select("id", "text")
     words = suspect_values(some, "id", "text")
-    found = words.join(canonical_values(words), "value").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("_new"))
+    found = salted(words).join(repeated(canonical_values(words)), ["value", "salt"]).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("_new"))
     parts = F.regexp_extract_all(t, F.lit(f"({WHITE}|{'[^' + WHITE[1:]})"), F.lit(1))
     replaced = F.when(F.col("_new").isNull(), t).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at("_new", p), p)), ""))
     done = some.join(found, "id", "left").select("id", F.translate(replaced, SPACES, " " * len(SPACES)).alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import cut
 from .arrow import slices
-from .confusables import Keys
+from .confusables import Keys, repeated, salted
 from .tiling import word_code
 
 #: Sizes from one band to the next.
@@ -293,9 +293,14 @@ def similar_pairs(docs: DataFrame, percent: int = 80, id: str = "doc_id", text:
     found = NearDuplicates(docs, percent, id, text)
     links = cut(found.links)
     m = found.members
-    side = lambda s: m.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
-    across = links.join(side("a"), "a").join(side("b"), "b").select("id_a", "id_b")
-    same = side("a").join(m.select(F.col("rep").alias("a"), F.col("id").alias("id_b")), "a").where("id_a < id_b").select("id_a", "id_b")
+    # a class of copies may hold a third of all documents: its members are split by salts, the links and the other members repeated for each
+    members = lambda s: salted(m).select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"), "salt")
+    across = repeated(links).join(members("a"), ["a", "salt"]).select("b", "id_a")
+    across = repeated(across).join(members("b"), ["b", "salt"]).select("id_a", "id_b")
+    several = m.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
+    copies = cut(salted(m).join(repeated(several), ["rep", "salt"]).select("rep", "id"))
+    left = salted(copies).select("rep", "salt", F.col("id").alias("id_a"))
+    same = left.join(repeated(copies.select("rep", F.col("id").alias("id_b"))), ["rep", "salt"]).where("id_a < id_b").select("id_a", "id_b")
     return across.unionByName(same).select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b"))
 
 
