@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import small
 from .arrow import slices
 from .confusables import Keys
 from .labels import source_key
@@ -81,7 +82,7 @@ def short_sources(rated: DataFrame) -> DataFrame:
 
 def mixed(sizes: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, source, copy, tokens): each document of the mix once for each copy, numbered from 0. The same for any partitioning."""
-    by = F.broadcast(rated.select(F.col("key").alias("source"), "rate"))  # one row a source of the sources' table
+    by = small(rated.select(F.col("key").alias("source"), "rate"))  # a row for each source
     chance = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return sizes.join(by, "source").withColumn("copies", copies).where("copies > 0").select(F.col("id").alias("doc_id"), "source", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "tokens")
