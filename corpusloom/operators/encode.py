@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.tables import small
 
 
 class Encoder:
@@ -147,7 +148,7 @@ def encoder_of(tokenizer: DataFrame, merges: bool = True, core: str = "ఀ-౿")
 def word_level(docs: DataFrame, vocab: DataFrame, unk: int = 1, bos: int = 2, id: str = "doc_id") -> DataFrame:
     """(id, ids): exact lookup of pieces, unknown ones as unk, bos in front, no eos."""
     tokens = docs.where("text IS NOT NULL").select(id, F.posexplode(t.pieces(F.col("text"))).alias("pos", "token"))
-    ids = tokens.join(F.broadcast(vocab), "token", "left").select(id, "pos", F.coalesce("id", F.lit(unk)).alias("tid"))
+    ids = tokens.join(small(vocab), "token", "left").select(id, "pos", F.coalesce("id", F.lit(unk)).alias("tid"))
     return ids.groupBy(id).agg(F.concat(F.array(F.lit(bos)), F.transform(F.sort_array(F.collect_list(F.struct("pos", "tid"))), lambda x: x["tid"])).alias("ids"))
 
 

@@ -8,6 +8,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -38,3 +39,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints"))
     return df.checkpoint(eager)
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The table, marked to be sent to all tasks if its rows, counted now, are at most so many; a larger one is left to the optimizer."""
+    return F.broadcast(df) if df.count() <= most else df
