@@ -406,14 +406,14 @@ def bpe_pair_words(s, d):
 def bpe_train(s, d):
     """Merges learned from the other tokens."""
     w = counts.other_counts(_token_counts(s, d)).withColumnRenamed("base", "word")
-    return bpe.train(w, merges=1000)[0]
+    return bpe.train(w)[0]
 
 
 @query()
 def bpe_subwords(s, d):
     """Frequencies of the symbols that are left after the merges."""
     w = counts.other_counts(_token_counts(s, d)).withColumnRenamed("base", "word")
-    return bpe.train(w, merges=1000)[1]
+    return bpe.train(w)[1]
 
 
 # packing

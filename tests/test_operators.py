@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom import queries
 from corpusloom.operators import bpe, counts, encode, ngrams, pack, quality, segment, vocab
 
 
@@ -160,3 +161,13 @@ def test_empty_tables(spark):
     assert tuple(counts.kept_ratios(tokens).first()) == (0, 0, 0.0, 0)
     assert segment.statistics(spark.createDataFrame([], "word string, n bigint, parts array<string>")).first()["total_word_tokens"] == 0
     assert quality.exact_duplicates(d).count() == 0 and segment.train(spark.createDataFrame([], "word string, n bigint")).counts == {}
+
+
+def test_registered_merges_are_the_whole_training(spark, tmp_path):
+    random.seed(2)
+    words = sorted({"".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(600)})
+    spark.createDataFrame([(i, " ".join(words)) for i in range(6)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    merges = queries.QUERIES["bpe_train"](spark, str(tmp_path)).orderBy("rank").collect()
+    done, left = bpe.merges_of(dict.fromkeys(words, 6), 8000)
+    assert len(done) > 1000 and [(r["left"], r["right"]) for r in merges] == done
+    assert dict(map(tuple, queries.QUERIES["bpe_subwords"](spark, str(tmp_path)).collect())) == left
