@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.tables import cut
 
-#: Entries of a lexicon that is sent to the tasks: the model's size, kept by a rising least count.
+#: Entries of a lexicon that is sent to the tasks; a larger one is joined to the words' substrings, with the same splits.
 MOST_MORPHS = 500_000
 
 
@@ -41,42 +42,71 @@ def _split(batches: Iterator[pa.RecordBatch], model: tuple) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(parts, pa.list_(pa.string()))], ["word", "n", "parts"])
 
 
+def _split_own(batches: Iterator[pa.RecordBatch], model: tuple) -> Iterator[pa.RecordBatch]:
+    """The same by a lexicon of each word's own: the counts of those of its substrings that are morphs, beside the letters' costs."""
+    letters, total, unseen, longest, guard = model
+    for b in batches:
+        words, parts = b.column("word").to_pylist(), []
+        for w, own in zip(words, b.column("own").to_pylist()):
+            cost = {c: letters[c] for c in w if c in letters} | {m["morph"]: math.log2(total / m["n"]) for m in own or ()}
+            parts.append([w] if guard and len(w) > guard else best_split(w, cost, unseen, longest))
+        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(parts, pa.list_(pa.string()))], ["word", "n", "parts"])
+
+
+def _substrings(word, least: int, most: int) -> object:
+    """Column: the substrings of a word that have at least `least` and at most `most` letters."""
+    each = lambda i: F.transform(F.sequence(F.lit(least), F.least(F.lit(most), F.length(word) - i + 1)), lambda k: F.substring(word, i, k))
+    return F.when(F.length(word) >= least, F.flatten(F.transform(F.sequence(F.lit(1), F.length(word) - least + 1), each))).otherwise(F.array().cast("array<string>"))
+
+
 class Segmenter:
-    """A lexicon of morphs with counts and costs. The cost of a split is its morphs' code length under the counts."""
+    """A lexicon (morph, n), each morph once. The cost of a split is its morphs' code length under the counts.
 
-    def __init__(self, counts: dict[str, int], longest: int = 12, guard: int = 80):
-        self.counts, self.longest, self.guard = counts, longest, guard
-        total = sum(counts.values()) + 1
-        self.cost = {m: math.log2(total / c) for m, c in counts.items()}
-        self.unseen = math.log2(total) + 8
+    A lexicon of at most MOST_MORPHS morphs is sent to the tasks; of a larger one only the single letters, and the rest is joined.
+    """
 
-    def split(self, words: DataFrame) -> DataFrame:
-        """(word, n, parts) of distinct words (word, n); words longer than the guard stay whole."""
-        sent = words.sparkSession.sparkContext.broadcast((self.cost, self.unseen, self.longest, self.guard))
-        return words.select("word", "n").mapInArrow(lambda it: _split(it, sent.value), "word string, n bigint, parts array<string>")
+    def __init__(self, lexicon: DataFrame, longest: int = 12, guard: int = 80):
+        self.lexicon, self.longest, self.guard = lexicon, longest, guard
+        self.size, total = lexicon.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.total = total + 1
+        self.unseen = math.log2(self.total) + 8
 
+    @property
+    def counts(self) -> dict[str, int]:
+        """The lexicon on the driver."""
+        return {r["morph"]: r["n"] for r in self.lexicon.collect()}
 
-def _lexicon(morphs: DataFrame) -> dict[str, int]:
-    least = 1
-    while morphs.where(F.col("n") >= least).count() > MOST_MORPHS:
-        least *= 2
-    return {r[0]: r[1] for r in morphs.where(F.col("n") >= least).select("morph", "n").collect()}
+    def _cost(self, lexicon: DataFrame) -> dict[str, float]:
+        return {r["morph"]: math.log2(self.total / r["n"]) for r in lexicon.collect()}
+
+    def split(self, words: DataFrame) -> DataFrame:
+        """(word, n, parts) of distinct words (word, n); words longer than the guard stay whole."""
+        sc, words, out = words.sparkSession.sparkContext, words.select("word", "n"), "word string, n bigint, parts array<string>"
+        if self.size <= MOST_MORPHS:
+            sent = sc.broadcast((self._cost(self.lexicon), self.unseen, self.longest, self.guard))
+            return words.mapInArrow(lambda it: _split(it, sent.value), out)
+        # letters occur in most words: they are sent, which also keeps hot keys out of the join
+        sent = sc.broadcast((self._cost(self.lexicon.where(F.length("morph") == 1)), self.total, self.unseen, self.longest, self.guard))
+        short = words.where(F.length("word") <= self.guard) if self.guard else words
+        found = short.select("word", F.explode(F.array_distinct(_substrings(F.col("word"), 2, self.longest))).alias("morph")).join(self.lexicon, "morph")
+        own = found.groupBy("word").agg(F.collect_list(F.struct("morph", "n")).alias("own"))
+        return words.join(own, "word", "left").select("word", "n", "own").mapInArrow(lambda it: _split_own(it, sent.value), out)
 
 
 def train(words: DataFrame, rounds: int = 4, dampening: str = "log", threshold: int = 2, weight: float = 1.0, longest: int = 12) -> Segmenter:
     """A segmenter from (word, n): all substrings of the words start the lexicon; then words are split and morphs recounted, round by round.
 
     A morph pays for its letters in the lexicon: it stays if its uses times weight save more than that, a higher weight splits less. Deterministic for any
-    partitioning. Only the lexicon, whose size is bounded, comes to the driver. An empty table gives an empty lexicon.
+    partitioning. The lexicon stays a table, whole at any size. An empty table gives an empty lexicon.
     """
-    seen = words.where(F.col("n") >= threshold).select("word", t.dampened(F.col("n"), dampening).alias("n"))
-    sub = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i + 1)), lambda k: F.substring(F.col("word"), i, k))))).alias("morph")
-    morphs = seen.select(sub, "n").groupBy("morph").agg(F.sum("n").alias("n")).where((F.col("n") >= 2 * threshold) | (F.length("morph") == 1))
-    model = Segmenter(_lexicon(morphs.withColumn("n", F.greatest((F.col("n") * F.least(F.length("morph"), F.lit(4)) / (4 * weight)).cast("bigint"), F.lit(1)))), longest)
+    seen = cut(words.where(F.col("n") >= threshold).select("word", t.dampened(F.col("n"), dampening).alias("n")))
+    morphs = seen.select(F.explode(_substrings(F.col("word"), 1, longest)).alias("morph"), "n").groupBy("morph").agg(F.sum("n").alias("n")).where((F.col("n") >= 2 * threshold) | (F.length("morph") == 1))
+    start = F.greatest((F.col("n") * F.least(F.length("morph"), F.lit(4)) / (4 * weight)).cast("bigint"), F.lit(1))
+    model = Segmenter(cut(morphs.select("morph", start.alias("n"))), longest)
     for _ in range(rounds):
         uses = model.split(seen).select(F.explode("parts").alias("morph"), "n").groupBy("morph").agg(F.sum("n").alias("n"))
         worth = F.col("n") * weight * F.log2(F.lit(1.0) + F.length("morph")) >= F.length("morph")
-        model = Segmenter(_lexicon(uses.where(worth | (F.length("morph") == 1))), longest)
+        model = Segmenter(cut(uses.where(worth | (F.length("morph") == 1))), longest)
     return model
 
 

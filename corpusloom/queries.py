@@ -260,8 +260,7 @@ def top_bottom_morphemes(s, d):
 @query()
 def segmenter_train(s, d):
     """The lexicon learned from the word counts."""
-    model = segment.train(_words(s, d))
-    return s.createDataFrame(sorted(model.counts.items()), "morph string, n bigint")
+    return segment.train(_words(s, d)).lexicon
 
 
 @query()

@@ -171,3 +171,14 @@ def test_registered_merges_are_the_whole_training(spark, tmp_path):
     done, left = bpe.merges_of(dict.fromkeys(words, 6), 8000)
     assert len(done) > 1000 and [(r["left"], r["right"]) for r in merges] == done
     assert dict(map(tuple, queries.QUERIES["bpe_subwords"](spark, str(tmp_path)).collect())) == left
+
+
+def test_a_lexicon_beyond_what_is_sent_stays_whole(spark, monkeypatch):
+    random.seed(3)
+    stems, ends = ["".join(random.choices("కగచజటడతదనపబమయరలవసహ", k=random.randrange(2, 6))) for _ in range(60)], ["లు", "లో", "ను", "కు", "", "నుండి"]
+    rows = sorted({(a + b, 2 + len(a) * len(b)) for a in stems for b in ends} | {("ఱ" * 81, 3), ("ఱ", 2), ("", 4)})
+    words = spark.createDataFrame([*rows, ("ఘఙ", 1)], "word string, n bigint")
+    learned = lambda m: (m.counts, sorted(map(str, m.split(words).collect())))
+    sent = learned(segment.train(words))
+    monkeypatch.setattr(segment, "MOST_MORPHS", 3)
+    assert learned(segment.train(words)) == sent and len(sent[0]) > 3 and any(len(m) > 1 for m in sent[0])
