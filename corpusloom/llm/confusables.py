@@ -180,14 +180,15 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def canonical_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text): every document with its text in the consistent form; ordinary spaces and line breaks stay as they are, null stays null.
 
-    Texts without a suspect character pass through without a shuffle. For the others each piece is replaced by its canonical form. Ids are unique.
+    Texts without a suspect character pass through without a shuffle. For the others each piece is replaced by its canonical form. Ids may be null or
+    repeated: replacements are joined back by a hash of id and text. Rows that share one share their replacements, which depend on the word alone.
     """
     t = F.col("text")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _flagged(it), "id bigint, text string, odd boolean")
-    some = rows.where("odd").select("id", "text")
-    words = suspect_values(some, "id", "text")
-    found = salted(words).join(repeated(canonical_values(words)), ["value", "salt"]).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("_new"))
+    some = rows.where("odd").select(F.xxhash64("id", "text").alias("key"), "id", "text")
+    words = suspect_values(some, "key", "text")
+    found = salted(words).join(repeated(canonical_values(words)), ["value", "salt"]).groupBy(F.col("id").alias("key")).agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("_new"))
     parts = F.regexp_extract_all(t, F.lit(f"({WHITE}|{'[^' + WHITE[1:]})"), F.lit(1))
     replaced = F.when(F.col("_new").isNull(), t).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at("_new", p), p)), ""))
-    done = some.join(found, "id", "left").select("id", F.translate(replaced, SPACES, " " * len(SPACES)).alias("text"))
+    done = some.join(found, "key", "left").select("id", F.translate(replaced, SPACES, " " * len(SPACES)).alias("text"))
     return rows.where("NOT odd").select("id", "text").unionByName(done).toDF(id, text)

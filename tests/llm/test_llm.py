@@ -229,6 +229,11 @@ def test_variants(spark, odd, none):
     assert confusables.variant_documents(none).count() == 0 and confusables.canonical_texts(none).count() == 0
 
 
+def test_texts_without_an_id(spark):
+    d = table(spark, [(None, "kаrfоѕ x", None, None), (None, "y kаrfоѕ\u00a0a", None, None), (None, None, None, None), (1, "kаrfоѕ", None, None), (1, "z kаrfоѕ", None, None)])
+    assert sorted(map(str, confusables.canonical_texts(d).select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(None, "karfos x"), (None, "y karfos a"), (None, None), (1, "karfos"), (1, "z karfos")])
+
+
 # 7
 
 
