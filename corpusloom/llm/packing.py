@@ -1,14 +1,13 @@
 """Documents into blocks of fixed capacity (problem 4).
 
 Documents are dealt by hash to shards of a bounded number of documents, and each shard is packed in one task. Best fit, longest first, gives the first
-packing; a local search then empties bins: from the emptiest bin it moves a document, or exchanges one for one, two for one or one for two, into the
+packing; a local search then empties bins: from the emptiest bin it moves one document or two, for none, one or two in return, into the
 underfull bins, always the step that raises the sum of squared fills most, until the bin is empty or no step helps.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +44,25 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _steps(give: np.ndarray, take: np.ndarray, room: np.ndarray) -> tuple[int, int, int]:
-    """The best exchange of a sum from give (sorted) for a sum of take: (gain, place in give, place in take); gain 0 if none helps."""
-    at = np.searchsorted(give, take + room, "right") - 1
-    gain = np.where(at >= 0, give[np.maximum(at, 0)] - take, 0)
-    k = int(np.argmax(gain))
-    return int(gain[k]), int(at[k]), k
+def _sums(lengths: list[int]) -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
+    """The sums of one or two documents of a bin, sorted, and each sum's places in the bin: one document before two, then the first ones.
+
+    Documents of equal length are interchangeable, so a bin has no more such sums than its capacity.
+    """
+    first: dict[int, tuple[int, ...]] = {}
+    for k, n in enumerate(lengths):
+        first.setdefault(n, (k,))
+    second = {}
+    for k, n in enumerate(lengths):
+        if k != first[n][0]:
+            second.setdefault(n, k)
+    one, places = sorted(first), dict(first)
+    for k, a in enumerate(one):
+        if a in second:
+            places.setdefault(2 * a, (first[a][0], second[a]))
+        for b in one[k + 1 :]:
+            places.setdefault(a + b, (first[a][0], first[b][0]))
+    return np.array(sorted(places), np.int64), places
 
 
 def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
@@ -58,7 +70,14 @@ def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[l
     bins = [list(b) for b in bins if b]
     least = -(-int(lengths.sum()) // capacity)
     fill = [int(lengths[b].sum()) for b in bins]
+    sums: dict[int, tuple] = {}  # of the bins as they are
     stuck: set[int] = set()
+
+    def sums_of(k: int) -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
+        if k not in sums:
+            sums[k] = _sums([int(lengths[i]) for i in bins[k]])
+        return sums[k]
+
     while sum(1 for b in bins if b) > least:
         open_ = [k for k in range(len(bins)) if bins[k] and fill[k] < capacity]
         rest = [k for k in open_ if k not in stuck]
@@ -69,26 +88,25 @@ def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[l
             others = [k for k in open_ if k != p and fill[k] < capacity and fill[k] >= fill[p]]
             if not others:
                 break
-            own = bins[p]
-            one = np.array([lengths[i] for i in own])
-            pairs = list(combinations(range(len(own)), 2)) if len(own) <= 64 else []
-            give = [((k,), int(one[k])) for k in range(len(own))] + [(c, int(one[c[0]] + one[c[1]])) for c in pairs]
-            give.sort(key=lambda g: (g[1], g[0]))
-            sums = np.array([g[1] for g in give])
-            # what comes back: nothing, one document, or two
-            back = [(q, ()) for q in others] + [(q, (i,)) for q in others for i in bins[q]]
-            back += [(q, c) for q in others if len(bins[q]) <= 12 for c in combinations(bins[q], 2)]
-            take = np.array([sum(int(lengths[i]) for i in c) for _, c in back])
-            room = np.array([capacity - fill[q] for q, _ in back])
-            gain, g, t = _steps(sums, take, room)
-            if gain <= 0:
+            give, places = sums_of(p)
+            # what comes back: nothing, or one document or two
+            backs = [sums_of(q)[0] for q in others]
+            of = np.repeat(np.arange(len(others)), [len(b) + 1 for b in backs])
+            take = np.concatenate([x for b in backs for x in ((0,), b)]).astype(np.int64)
+            fills = np.array([fill[q] for q in others], np.int64)[of]
+            at = np.searchsorted(give, take + capacity - fills, "right") - 1
+            gain = np.where(at >= 0, give[np.maximum(at, 0)] - take, 0)
+            t = int(np.argmax(np.where(gain > 0, 2 * gain * (fills - fill[p] + gain), 0)))  # the rise of squared fills
+            if gain[t] <= 0:
                 break
-            q, c = back[t]
-            moved = [own[k] for k in give[g][0]]
-            bins[p] = [i for i in own if i not in moved] + list(c)
+            q, back = others[of[t]], int(take[t])
+            moved = [bins[p][k] for k in places[int(give[at[t]])]]
+            c = [bins[q][k] for k in sums_of(q)[1][back]] if back else []
+            bins[p] = [i for i in bins[p] if i not in moved] + c
             bins[q] = [i for i in bins[q] if i not in c] + moved
-            fill[p] -= gain
-            fill[q] += gain
+            fill[p] -= int(gain[t])
+            fill[q] += int(gain[t])
+            del sums[p], sums[q]
         if bins[p]:
             stuck.add(p)
     return [b for b in bins if b]

@@ -142,6 +142,22 @@ def test_search_empties_bins():
     assert len(packing.improve(np.array([5, 5, 4, 6], np.int64), [[0, 2], [1], [3]], 10)) == 2
 
 
+def test_search_takes_two_back_from_bins_of_many():
+    n = np.array([5] + [2] * 14 + [26], np.int64)
+    assert len(packing.improve(n, [[0], list(range(1, 15)), [15]], 30)) == 2
+
+
+def test_search_gives_two_of_many():
+    n = np.array([2] * 65 + [3, 996] * 130, np.int64)
+    bins = packing.improve(n, [list(range(65)), *([k, k + 1] for k in range(65, len(n), 2))], 1000)
+    assert min(int(n[b].sum()) for b in bins) == 98 and sorted(i for b in bins for i in b) == list(range(len(n)))
+
+
+def test_search_raises_squared_fills_most():
+    n = np.array([4, 3, 20, 97], np.int64)
+    assert sorted(int(n[b].sum()) for b in packing.improve(n, [[0, 1], [2], [3]], 100)) == [24, 100]
+
+
 def test_packed(spark):
     configs = spark.createDataFrame([("c", 10, 0), ("none", None, 1), ("zero", 0, 1)], "config_name string, block_size int, n int")
     lengths = spark.createDataFrame([(1, 25), (2, 4), (3, 0), (4, 6), (None, 3), (2, 4)], "doc_id bigint, n bigint")
