@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.tables import cut
 
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")  # fixed values: ids 0 to 3
 
@@ -14,8 +15,8 @@ def vocab_ids(core: DataFrame, subwords: DataFrame | None = None, profile=t.TELU
     """(token, id, tier, frequency): special tokens, core tokens (token, n), subwords (token, n) bare and marked, then characters bare and marked.
 
     Within a tier frequent ones come first, ties by code points; a token of an earlier tier isn't repeated. cap bounds the core tier at cap - 4 tokens,
-    as the reference's size option does. Ids are ranks over the types, which are few beside the corpus's tokens: ranges of frequency are numbered
-    apart and follow each other.
+    as the reference's size option does. Ids are ranks over the types: ranges of the order are numbered apart and follow each other, and only their
+    sizes are brought together.
     """
     spark = core.sparkSession
     core = core.where(F.col("n") >= min_freq).select("token", F.col("n").alias("frequency"))
@@ -33,5 +34,9 @@ def vocab_ids(core: DataFrame, subwords: DataFrame | None = None, profile=t.TELU
     parts = parts.withColumn("bare", F.coalesce("bare", "token"))
     first = Window.partitionBy("token").orderBy("tier", F.desc("frequency"), "ord", "bare", "variant")
     kept = parts.withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    order = Window.orderBy("tier", F.desc("frequency"), "ord", "bare", "variant")
-    return kept.select("token", (F.row_number().over(order) - 1).alias("id"), "tier", "frequency")
+    order = ["tier", F.desc("frequency"), "ord", "bare", "variant"]
+    ranged = cut(kept.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    bases = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_inside", inside).join(F.broadcast(bases), "_range").select("token", (F.col("_base") + F.col("_inside")).cast("int").alias("id"), "tier", "frequency")

@@ -84,6 +84,15 @@ def test_vocabulary(spark):
     assert capped.where("tier = 1").count() == 0 or capped.where("tier = 1").count() <= 1
 
 
+def test_ids_are_numbered_by_ranges(spark):
+    core = spark.createDataFrame([("క" + chr(0xC15 + i % 30) * (1 + i // 30), 2 + i % 7) for i in range(600)], "token string, n bigint").repartition(5)
+    v = vocab.vocab_ids(core)
+    assert "windowspecdefinition(tier" not in v._jdf.queryExecution().optimizedPlan().toString()
+    rows = v.orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(len(rows))) and dict(v.dtypes)["id"] == "int"
+    assert [r["token"] for r in rows if r["tier"] == 1] == [r["token"] for r in core.orderBy(F.desc("n"), "token").collect()]
+
+
 def stream_of(spark, lengths, parts=3):
     rows = [(i, [10 * i + k for k in range(n)]) for i, n in enumerate(lengths)]
     return pack.stream(spark.createDataFrame(rows, "doc_id bigint, ids array<int>").where(F.size("ids") > 0).repartition(parts))
