@@ -1,8 +1,8 @@
 """Documents into blocks of fixed capacity (problem 4).
 
 Documents are dealt by hash to shards of a bounded number of documents, and each shard is packed in one task. Best fit, longest first, gives the first
-packing; a local search then empties bins: from the emptiest bin it moves one document or two, for none, one or two in return, into the
-underfull bins, always the step that raises the sum of squared fills most, until the bin is empty or no step helps.
+packing; a local search then empties bins: any two underfull bins exchange one document or two for none, one or two, always by the step that raises the sum
+of squared fills most, until no step is left or a lower bound shows that no packing has fewer bins.
 """
 
 from __future__ import annotations
@@ -65,50 +65,77 @@ def _sums(lengths: list[int]) -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
     return np.array(sorted(places), np.int64), places
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can go below: Martello and Toth's second bound, which also covers the total over the capacity.
+
+    Items longer than capacity - k can't share a bin with items of k or more, those over half a bin can't share one with each other, and items of k up to
+    half a bin fit only into the room that the latter leave; the bound is the largest over all k.
+    """
+    s = np.sort(lengths.astype(np.int64))
+    if not len(s):
+        return 0
+    sums = np.concatenate([[0], np.cumsum(s)])
+    k = np.unique(np.concatenate([[0], s[s <= capacity // 2]]))
+    half, long = np.searchsorted(s, capacity // 2, "right"), np.searchsorted(s, capacity - k, "right")
+    room = (long - half) * capacity - (sums[long] - sums[half])
+    rest = sums[half] - sums[np.searchsorted(s, k, "left")]
+    return int((len(s) - half + np.maximum(0, -(-(rest - room) // capacity))).max())
+
+
 def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """The bins after the local search. Documents stay whole; the number of bins never grows."""
+    """The bins after the local search. Documents stay whole; the number of bins never grows.
+
+    Any two underfull bins may exchange: one document or two of the emptier one for none, one or two of the fuller one. The emptiest bin that may have such a
+    step goes first and takes the step that raises the sum of squared fills most; one without a step waits until another bin has changed. The search
+    ends when no two bins have a step, or as few bins are left as any packing needs. Each step raises a bounded whole number, so it does end.
+    """
     bins = [list(b) for b in bins if b]
-    least = -(-int(lengths.sum()) // capacity)
-    fill = [int(lengths[b].sum()) for b in bins]
+    least = least_bins(lengths, capacity)
+    fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
     sums: dict[int, tuple] = {}  # of the bins as they are
-    stuck: set[int] = set()
+    clock, changed, tried = 1, np.ones(len(bins), np.int64), np.zeros(len(bins), np.int64)
+    left = len(bins)
 
     def sums_of(k: int) -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
         if k not in sums:
-            sums[k] = _sums([int(lengths[i]) for i in bins[k]])
+            one, places = _sums([int(lengths[i]) for i in bins[k]])
+            sums[k] = np.concatenate([[0], one]), places
         return sums[k]
 
-    while sum(1 for b in bins if b) > least:
-        open_ = [k for k in range(len(bins)) if bins[k] and fill[k] < capacity]
-        rest = [k for k in open_ if k not in stuck]
-        if len(open_) < 2 or not rest:
+    while left > least:
+        open_ = np.flatnonzero((fill > 0) & (fill < capacity))
+        news = changed[open_].max() if len(open_) else 0
+        rest = open_[(changed[open_] > tried[open_]) | (news > tried[open_])]
+        if len(open_) < 2 or not len(rest):
             break
-        p = min(rest, key=lambda k: (fill[k], k))
-        while bins[p]:
-            others = [k for k in open_ if k != p and fill[k] < capacity and fill[k] >= fill[p]]
-            if not others:
-                break
-            give, places = sums_of(p)
-            # what comes back: nothing, or one document or two
-            backs = [sums_of(q)[0] for q in others]
-            of = np.repeat(np.arange(len(others)), [len(b) + 1 for b in backs])
-            take = np.concatenate([x for b in backs for x in ((0,), b)]).astype(np.int64)
-            fills = np.array([fill[q] for q in others], np.int64)[of]
-            at = np.searchsorted(give, take + capacity - fills, "right") - 1
-            gain = np.where(at >= 0, give[np.maximum(at, 0)] - take, 0)
-            t = int(np.argmax(np.where(gain > 0, 2 * gain * (fills - fill[p] + gain), 0)))  # the rise of squared fills
-            if gain[t] <= 0:
-                break
-            q, back = others[of[t]], int(take[t])
-            moved = [bins[p][k] for k in places[int(give[at[t]])]]
-            c = [bins[q][k] for k in sums_of(q)[1][back]] if back else []
-            bins[p] = [i for i in bins[p] if i not in moved] + c
-            bins[q] = [i for i in bins[q] if i not in c] + moved
-            fill[p] -= int(gain[t])
-            fill[q] += int(gain[t])
-            del sums[p], sums[q]
-        if bins[p]:
-            stuck.add(p)
+        p = int(rest[np.argmin(fill[rest])])
+        others = open_[(open_ != p) & (fill[open_] >= fill[p])]
+        if changed[p] <= tried[p]:
+            others = others[changed[others] > tried[p]]
+        tried[p] = clock
+        if not len(others):
+            continue
+        give, places = sums_of(p)
+        give = give[1:]
+        backs = [sums_of(q)[0] for q in others.tolist()]  # what comes back: nothing, or one document or two
+        of = np.repeat(np.arange(len(others)), [len(b) for b in backs])
+        take, fills = np.concatenate(backs), fill[others][of]
+        at = np.searchsorted(give, take + capacity - fills, "right") - 1
+        gain = np.where(at >= 0, give[np.maximum(at, 0)] - take, 0)
+        t = int(np.argmax(np.where(gain > 0, 2 * gain * (fills - fill[p] + gain), 0)))  # the rise of squared fills
+        if gain[t] <= 0:
+            continue
+        q, back = int(others[of[t]]), int(take[t])
+        moved = [bins[p][k] for k in places[int(give[at[t]])]]
+        c = [bins[q][k] for k in sums_of(q)[1][back]] if back else []
+        bins[p] = [i for i in bins[p] if i not in moved] + c
+        bins[q] = [i for i in bins[q] if i not in c] + moved
+        fill[p] -= int(gain[t])
+        fill[q] += int(gain[t])
+        clock += 1
+        changed[p] = changed[q] = clock
+        left -= not bins[p]
+        del sums[p], sums[q]
     return [b for b in bins if b]
 
 
@@ -158,6 +185,8 @@ def packed(lengths: DataFrame, configs: DataFrame, shards: int) -> DataFrame:
         wanted = [(r[0], r[1]) for r in wanted.collect()]
     each = F.explode(F.array(*(F.struct(F.lit(a).cast("string").alias("config_name"), F.lit(b).cast("int").alias("block_size")) for a, b in wanted))).alias("c")
     items = items.select("id", "n", "shard", each).select("id", "n", "shard", "c.config_name", "c.block_size")
+    # a given number of partitions isn't merged: shards are few bytes but long work, and each partition should hold one at most
+    items = items.repartition(4 * shards * len(wanted), "config_name", "block_size", "shard")
     return items.groupBy("config_name", "block_size", "shard").applyInArrow(lambda t: _shard(t), "config_name string, block_id bigint, doc_id bigint, part int, start int, tokens int")
 
 

@@ -158,6 +158,26 @@ def test_search_raises_squared_fills_most():
     assert sorted(int(n[b].sum()) for b in packing.improve(n, [[0, 1], [2], [3]], 100)) == [24, 100]
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 6])
+def test_search_reaches_the_bound(seed):
+    n = np.random.default_rng(seed).integers(20, 120, 400)
+    first = packing.best_fit(n, 256)
+    bins = packing.improve(n, first, 256)
+    assert len(bins) < len(first) and len(bins) == packing.least_bins(n, 256) and sorted(i for b in bins for i in b) == list(range(400))
+
+
+def test_search_goes_back_to_stuck_bins():
+    n = np.array([7, 4, 3, 96, 97, 93], np.int64)  # 7 fits nowhere until 97 and 4 or 93 have met
+    assert len(packing.improve(n, [[0], [1, 2], [3], [4], [5]], 100)) == 3
+
+
+@given(st.lists(st.integers(1, 20), max_size=12))
+@settings(max_examples=100, deadline=None)
+def test_bound_of_bins(lengths):
+    n = np.array(lengths, np.int64)
+    assert -(-int(n.sum()) // 20) <= packing.least_bins(n, 20) <= len(packing.best_fit(n, 20))
+
+
 def test_packed(spark):
     configs = spark.createDataFrame([("c", 10, 0), ("none", None, 1), ("zero", 0, 1)], "config_name string, block_size int, n int")
     lengths = spark.createDataFrame([(1, 25), (2, 4), (3, 0), (4, 6), (None, 3), (2, 4)], "doc_id bigint, n bigint")
