@@ -8,8 +8,12 @@ that two similar documents can't differ by two words or more in all of them. A d
 of each subset and of its one-deletion neighbourhood. The longer document of a pair probes: of its segments it leaves out some (-1), looks some up as
 they are (0) and some with one deletion on either side (1), so that the sum of (choice + 1) exceeds the most words in which a similar pair can differ.
 By the pigeonhole principle one of the chosen segments then matches. Choices are made by cost, the expected number of matches from the words' document
-frequencies. Candidates pass an exact bound on folded bitmaps of the
-sets and are verified on the sets themselves, so no link is lost and none is wrong.
+frequencies.
+
+Entries travel twice. First only their keys do, by buckets; keys that no document probes, or that one document alone holds, end there. What is left is
+dealt to units of bounded size and gets the documents' folded bitmaps, on which an exact bound rules most pairs out; the others are verified on the sets
+themselves, so no link is lost and none is wrong. A key that more than HOT documents may hold is split both ways: its index entries and its probes are
+dealt to a grid of parts, so that each entry meets each probe in one of them and no part grows with the collection.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, small
 from .arrow import slices
 from .confusables import Keys, repeated, salted
 from .tiling import word_code
@@ -31,8 +35,11 @@ from .tiling import word_code
 BAND = 1.7
 #: Segments beyond the least number, as a factor: what a probe may leave out.
 SLACK = 1.2
-#: Entries of a bucket, on average: they are sorted in one task's memory.
-BUCKET = 1_200_000
+#: Entries of a bucket, on average, and those of a unit, which also carry bitmaps: they are sorted in one task's memory.
+BUCKET, UNIT = 400_000, 100_000
+#: Documents that one key may lead to before it is split, and copies after which a class is joined apart.
+HOT = 250_000
+COPIES = 10_000
 #: Cells in which document frequencies are added up for the costs.
 CELLS = 1 << 16
 
@@ -112,11 +119,21 @@ def segments(k: np.ndarray, percent: int) -> np.ndarray:
     return np.ceil(SLACK * ((u - shared(u, percent)) + 1)).astype(np.int64)
 
 
-def entries(n: np.ndarray, doc: np.ndarray, tok: np.ndarray, band: np.ndarray, budget: np.ndarray, df: np.ndarray, total: float, percent: int, index: bool):
-    """Entries (key, document, kind) of documents in a band each. kind: 1 a whole subset, 0 one with a deletion; +2 if the document probes with it.
+def parts_of(band: np.ndarray, docs: np.ndarray, percent: int, hot: int) -> np.ndarray:
+    """For each band and number of words of a subset (the last column for more): what the frequency of the subset's rarest word is multiplied by to give the
+    parts of its key less one. A document of the band holds the subset if it holds that word and no other of its words falls into the segment, or just one."""
+    m = segments(band, percent).astype(float)
+    least = np.ceil(BAND**band - 1e-9)
+    rest = np.maximum(least[:, None] - np.arange(64)[None, :], 0) / m[:, None]
+    return docs[:, None] * np.exp(-rest) * (1 + rest) / hot
+
+
+def entries(n: np.ndarray, doc: np.ndarray, tok: np.ndarray, band: np.ndarray, budget: np.ndarray, df: np.ndarray, total: float, percent: int, index: bool, parts: np.ndarray):
+    """Entries (key, document, kind) of documents in a band each. kind: 1 a whole subset, 0 one with a deletion; +2 if the document probes with it, +4 if the
+    probe of a whole subset allows a deletion, +8 if it isn't in the index.
 
     doc gives the document of each word of tok, budget what the sum of a document's choices must reach (0: it doesn't probe). With index all
-    entries are made, else those that probe.
+    entries are made, else those that probe. parts: see parts_of.
     """
     m = segments(band, percent)
     base = np.concatenate([[0], np.cumsum(m)])
@@ -150,10 +167,50 @@ def entries(n: np.ndarray, doc: np.ndarray, tok: np.ndarray, band: np.ndarray, b
     kind = np.concatenate([1 + 2 * (choice[whole] >= 0), 2 * (choice[seg[part]] > 0)]).astype(np.uint8)
     # with choice 0 whole subsets meet whole ones only
     kind[: len(whole)] |= (4 * (choice[whole] > 0)).astype(np.uint8)
-    return key, np.concatenate([owner[whole], doc[part]]), kind
-
-
-def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, percent: int, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not index:
+        kind |= np.uint8(8)
+    holder = np.concatenate([owner[whole], doc[part]])
+    # the rarest word of each subset, without the deleted one
+    size = np.bincount(seg, minlength=total_seg)
+    start = np.cumsum(size) - size
+    by = np.lexsort((p, seg))
+    rarest, second = np.ones(total_seg), np.ones(total_seg)
+    rarest[size > 0] = p[by[start[size > 0]]]
+    second[size > 1] = p[by[start[size > 1] + 1]]
+    first = np.zeros(len(seg), bool)
+    first[by[start[size > 0]]] = True
+    low = np.concatenate([rarest[whole], np.where(first[part], second[seg[part]], rarest[seg[part]])])
+    words = np.concatenate([size[whole], size[seg[part]] - 1])
+    k = 1 + np.floor(low * parts[band[holder], np.minimum(words, 63)]).astype(np.int64)
+    hot = k > 1
+    if not hot.any():
+        return key, holder, kind
+    return tuple(np.concatenate([x[~hot], y]) for x, y in zip((key, holder, kind), _grid(key[hot], holder[hot], kind[hot], k[hot], tok, doc)))
+
+
+def _grid(key: np.ndarray, holder: np.ndarray, kind: np.ndarray, k: np.ndarray, tok: np.ndarray, doc: np.ndarray):
+    """Entries of hot keys dealt to k times k parts: as index entries to one row of the grid, as probes to one column, rows and columns by the document."""
+    of = np.zeros(int(doc.max()) + 1, _U)
+    np.add.at(of, doc, mix(tok, 83))  # a hash of the whole set
+    out = []
+    for probes in (False, True):
+        some = kind & 2 > 0 if probes else kind & 8 == 0
+        key_, h, kd, n = key[some], holder[some], kind[some], k[some]
+        at = np.repeat(np.arange(len(n)), n)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        own = (mix(of[h], 89 if probes else 97) % n.astype(_U)).astype(np.int64)[at]
+        cell = np.where(probes, other * n[at] + own, own * n[at] + other)
+        out.append((mix(key_[at] + cell.astype(_U), 71), h[at], kd[at] | np.uint8(8) if probes else kd[at] & np.uint8(1)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _binary(values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The bytes of values cut at the starts."""
+    ends = np.concatenate([start, [len(values)]]).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, percent: int, buckets: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "words"):
         ids, raw = b.column("id").to_numpy(), b.column("words").to_pylist()
         n = np.array([len(x) // 8 for x in raw], np.int64)
@@ -165,7 +222,7 @@ def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, perc
         tok = np.frombuffer(b"".join(raw), _U)
         doc = np.repeat(np.arange(len(n)), n)
         band = band_of(n)
-        key, owner, kind = entries(n, doc, tok, band, 2 * (n - shared(n, percent)) + 1, df, total, percent, True)
+        key, owner, kind = entries(n, doc, tok, band, 2 * (n - shared(n, percent)) + 1, df, total, percent, True, parts)
         scheme = band[owner]
         # documents whose shorter partners may lie in the band below probe there, too
         below = np.flatnonzero(band_end(band - 1) >= shared(n, percent))
@@ -174,40 +231,71 @@ def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, perc
             code[below] = np.arange(len(below))
             inside = code[doc] >= 0
             u = band_end(band[below] - 1)
-            k2, o2, f2 = entries(n[below], code[doc[inside]], tok[inside], band[below] - 1, u + n[below] - 2 * shared(n[below], percent) + 1, df, total, percent, False)
-            key, owner, kind = np.concatenate([key, k2]), np.concatenate([owner, below[o2]]), np.concatenate([kind, f2 | np.uint8(8)])
+            k2, o2, f2 = entries(n[below], code[doc[inside]], tok[inside], band[below] - 1, u + n[below] - 2 * shared(n[below], percent) + 1, df, total, percent, False, parts)
+            key, owner, kind = np.concatenate([key, k2]), np.concatenate([owner, below[o2]]), np.concatenate([kind, f2])
             scheme = np.concatenate([scheme, band[below[o2]] - 1])
         # a band has buckets of its own, so a document is in few of them
         bucket = buckets[scheme] + ((key >> _U(32)) % (buckets[scheme + 1] - buckets[scheme]).astype(_U)).astype(np.int64)
         order = np.lexsort((owner, bucket))
         key, owner, kind, bucket = key[order].astype(np.uint32), owner[order], kind[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        out = []
-        maps, base = {}, np.concatenate([[0], np.cumsum(n)])
-        for s, e in zip(cuts, [*cuts[1:], len(bucket)]):
-            who, count = np.unique(owner[s:e], return_counts=True)
-            at = int(np.searchsorted(buckets, bucket[s], "right")) - 1
-            if at not in maps:  # of all documents of the band or the one above, in their order
-                those = np.flatnonzero((band == at) | (band == at + 1))
-                inside = np.concatenate([np.arange(base[k], base[k + 1]) for k in those])
-                maps[at] = those, bitmaps(np.repeat(np.arange(len(those)), n[those]), tok[inside], len(those), width_of(at))
-            those, rows = maps[at]
-            out.append((int(bucket[s]), ids[who].tobytes(), n[who].astype(np.int32).tobytes(), rows[np.searchsorted(those, who)].tobytes(), count.astype(np.int32).tobytes(), key[s:e].tobytes(), kind[s:e].tobytes()))
-        c = list(zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], ["bucket", *INDEX])
+        # a document's entries in a bucket lie together
+        run = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))
+        count = np.diff(np.concatenate([run, [len(key)]])).astype(np.int32)
+        at = np.searchsorted(run, cuts)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), _binary(ids[owner[run]], at), _binary(count, at), _binary(key, cuts), _binary(kind, cuts)], ["bucket", *INDEX])
 
 
-INDEX = ["ids", "sizes", "maps", "counts", "keys", "kinds"]
+INDEX = ["ids", "counts", "keys", "kinds"]
 
 
-def _meet(t: pa.Table, percent: int) -> pa.Table:
-    """The candidate pairs of a bucket: entries with one key, the longer document's one probing, whose bitmaps don't rule the pair out."""
-    cat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
-    count = cat("counts", np.int32)
-    doc_ids, doc_n, maps = cat("ids", np.int64), cat("sizes", np.int32), cat("maps", _U)
-    maps = maps.reshape(len(doc_n), -1)
+def _column(t: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+
+
+def _useful(t: pa.Table, unit: int) -> pa.Table:
+    """(id, unit, keys, kinds): the entries of a bucket whose key is probed and held by another document, too, by units of whole keys."""
+    count = _column(t, "counts", np.int32)
     row = np.repeat(np.arange(len(count), dtype=np.int32), count)
-    key, kind = cat("keys", np.uint32), cat("kinds", np.uint8)
+    ids, key, kind = _column(t, "ids", np.int64), _column(t, "keys", np.uint32), _column(t, "kinds", np.uint8)
+    order = np.argsort(key, kind="stable")
+    key, kind, row = key[order], kind[order], row[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    start = np.flatnonzero(first)
+    ends = np.concatenate([start[1:], [len(key)]])
+    some = (np.logical_or.reduceat(kind & 2 > 0, start)) & (np.logical_or.reduceat(kind & 8 == 0, start)) & (np.minimum.reduceat(row, start) < np.maximum.reduceat(row, start))
+    length = (ends - start)[some]
+    keep = np.repeat(some, ends - start)
+    number = np.repeat((np.cumsum(length) - length) // unit, length)
+    key, kind, row = key[keep], kind[keep], row[keep]
+    order = np.lexsort((row, number))
+    key, kind, row, number = key[order], kind[order], row[order], number[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (number[1:] != number[:-1])])) if len(row) else np.zeros(0, np.int64)
+    bucket = t.column("bucket")[0].as_py()
+    return pa.table([pa.array(ids[row[new]]), pa.array((bucket << 32) + number[new]), _binary(key, new), _binary(kind, new)], ["id", "unit", "keys", "kinds"])
+
+
+def _mapped(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows with their document's size and its bitmap, as wide as the unit's band asks."""
+    for b in slices(batches, "words"):
+        raw = b.column("words").to_pylist()
+        band = np.searchsorted(buckets, b.column("unit").to_numpy() >> 32, "right") - 1
+        n = np.array([len(x) // 8 for x in raw], np.int64)
+        maps = np.empty(len(raw), object)
+        for k in np.unique(band):
+            those = np.flatnonzero(band == k)
+            rows = bitmaps(np.repeat(np.arange(len(those)), n[those]), np.frombuffer(b"".join(raw[i] for i in those), _U), len(those), width_of(int(k)))
+            maps[those] = [x.tobytes() for x in rows]
+        yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("id"), pa.array(n.astype(np.int32)), b.column("keys"), b.column("kinds"), pa.array(maps, pa.binary())], ["unit", "id", "n", "keys", "kinds", "map"])
+
+
+def _meet(t: pa.Table, percent: int) -> pa.Table:
+    """The candidate pairs of a unit: entries with one key, the longer document's one probing, whose bitmaps don't rule the pair out."""
+    doc_ids, doc_n = t.column("id").to_numpy(), t.column("n").to_numpy()
+    maps = _column(t, "map", _U).reshape(len(doc_n), -1)
+    kinds = t.column("kinds").to_pylist()
+    row = np.repeat(np.arange(len(kinds), dtype=np.int32), [len(x) for x in kinds])
+    key, kind = _column(t, "keys", np.uint32), np.frombuffer(b"".join(kinds), np.uint8)
     order = np.argsort(key, kind="stable")
     key, kind, row = key[order], kind[order], row[order]
     first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -244,13 +332,15 @@ def _meet(t: pa.Table, percent: int) -> pa.Table:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist()):
-            u, v = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            keep.append(both * 100 >= percent * max(len(u), len(v)))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    for b in slices(batches, "wa"):
+        wa, wb = b.column("wa").to_pylist(), b.column("wb").to_pylist()
+        na, nb = (np.array([len(x) // 8 for x in w], np.int64) for w in (wa, wb))
+        pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
+        tok = np.frombuffer(b"".join(wa + wb), _U)
+        order = np.lexsort((tok, pair))
+        tok, pair = tok[order], pair[order]
+        both = np.bincount(pair[1:][(tok[1:] == tok[:-1]) & (pair[1:] == pair[:-1])], minlength=len(na))
+        yield b.select(["a", "b"]).filter(pa.array(both * 100 >= percent * np.maximum(na, nb)))
 
 
 class NearDuplicates:
@@ -265,10 +355,19 @@ class NearDuplicates:
         first = cut(rows.mapInArrow(lambda it: _bags(it), "id bigint, bag binary, n bigint, cell int"))
         bags = first.where("cell is null").select("id", "bag", "n")
         # one representative of a class, the least id; copies are pre-aggregated before the shuffle
-        reps = bags.groupBy("bag").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-        self.members = bags.select("id", "bag").join(reps.select("bag", "rep"), "bag").select("id", "rep").distinct()
+        reps = cut(bags.groupBy("bag").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("k")))
+        # members of large classes are joined apart: a class of COPIES documents takes one row, so these rows are few
+        large, bags = small(reps.where(F.col("k") > COPIES).select("bag", "rep")), bags.select("id", "bag")
+        few = bags.join(large, "bag", "left_anti").join(reps.where(F.col("k") <= COPIES).select("bag", "rep"), "bag").withColumn("large", F.lit(False))
+        self.members = few.unionByName(bags.join(large, "bag").withColumn("large", F.lit(True))).select("id", "rep", "large").distinct()
         self.links = self._links(rows.mapInArrow(lambda it: _sets(it), "id bigint, words binary"), reps, first, percent)
 
+    def by_class(self, info: DataFrame) -> DataFrame:
+        """The members with a table of at most a row for each class, on rep; without the rows of large classes in the shuffle."""
+        m = self.members
+        large = small(m.where("large").select("rep").distinct())
+        return m.where("NOT large").join(info, "rep", "left").unionByName(m.where("large").join(small(info.join(large, "rep", "left_semi")), "rep", "left")).drop("large")
+
     def _links(self, sets: DataFrame, reps: DataFrame, first: DataFrame, percent: int) -> DataFrame:
         df = np.zeros(CELLS)
         for r in first.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("df")).collect():  # CELLS rows at most
@@ -279,10 +378,16 @@ class NearDuplicates:
         total = max(1, sum(x[1] for x in of.values()))
         words = [of.get(k, (0, 0))[0] for k in range(max(of, default=0) + 2)]
         buckets = np.concatenate([[0], np.cumsum([max(1, round((1.25 * a + 0.6 * b) / BUCKET)) for a, b in zip(words, words[1:])])]).astype(np.int64)
-        # the sets go over the network once, by id: for the index and again for the verification
+        bands = np.arange(len(buckets) - 1)
+        docs = np.array([of.get(k, (0, 0))[1] for k in range(len(buckets))], float)
+        parts = parts_of(bands, docs[:-1] + docs[1:], percent, HOT)
+        # the sets go over the network once, by id: for the index, the bitmaps and the verification
         mine = sets.join(reps.select(F.col("rep").alias("id")), "id").select("id", "words")
-        index = mine.mapInArrow(lambda it: _index(it, df, total, percent, buckets), "bucket int, " + ", ".join(f"{x} binary" for x in INDEX))
-        close = index.groupBy("bucket").applyInArrow(lambda t: _meet(t, percent), "a bigint, b bigint").distinct()
+        index = mine.mapInArrow(lambda it: _index(it, df, total, percent, buckets, parts), "bucket int, " + ", ".join(f"{x} binary" for x in INDEX))
+        unit = UNIT
+        useful = index.groupBy("bucket").applyInArrow(lambda t: _useful(t, unit), "id bigint, unit bigint, keys binary, kinds binary")
+        mapped = useful.join(mine, "id").select("id", "unit", "keys", "kinds", "words").mapInArrow(lambda it: _mapped(it, buckets), "unit bigint, id bigint, n int, keys binary, kinds binary, map binary")
+        close = mapped.groupBy("unit").applyInArrow(lambda t: _meet(t, percent), "a bigint, b bigint").distinct()
         sides = close.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
         pairs = sides.join(sets, "id").groupBy("a", "b").agg(F.min_by("words", "id").alias("wa"), F.max_by("words", "id").alias("wb"))
         return pairs.mapInArrow(lambda it: _verify(it, percent), "a bigint, b bigint")
@@ -292,7 +397,7 @@ def similar_pairs(docs: DataFrame, percent: int = 80, id: str = "doc_id", text:
     """(doc_id_a, doc_id_b), doc_id_a < doc_id_b: every pair of documents with at least that similarity, copies listed in full."""
     found = NearDuplicates(docs, percent, id, text)
     links = cut(found.links)
-    m = found.members
+    m = found.members.drop("large")
     # a class of copies may hold a third of all documents: its members are split by salts, the links and the other members repeated for each
     members = lambda s: salted(m).select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"), "salt")
     across = repeated(links).join(members("a"), ["a", "salt"]).select("b", "id_a")
@@ -323,4 +428,4 @@ def groups(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "
             break
     degree = edges.groupBy("a").agg(F.count("*").alias("links"))
     info = label.join(degree, "a").select(F.col("a").alias("rep"), "g", "links")
-    return found.members.join(info, "rep", "left").select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return found.by_class(info).select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
