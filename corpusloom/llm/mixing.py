@@ -75,22 +75,36 @@ def rates(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return both.withColumn("rate", F.when(F.col("tokens") > 0, F.least(full, F.coalesce(F.col("max_repeats").cast("double"), full))).otherwise(0.0))
 
 
-def short_sources(rated: DataFrame) -> DataFrame:
-    """(source) of the sources that can't reach their share even when repeated as often as allowed."""
-    return rated.where(F.col("tokens") * F.col("max_repeats") < F.col("target_share") * F.col("all_tokens")).select("source")
-
-
-def mixed(sizes: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, source, copy, tokens): each document of the mix once for each copy, numbered from 0. The same for any partitioning."""
+def copied(sizes: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
+    """(id, source, tokens, copies) of the documents of the mix: floor(rate) copies and one more by a hash of seed and id. The same for any partitioning."""
     by = small(rated.select(F.col("key").alias("source"), "rate"))  # a row for each source
     chance = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return sizes.join(by, "source").withColumn("copies", copies).where("copies > 0").select(F.col("id").alias("doc_id"), "source", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "tokens")
+    return sizes.join(by, "source").withColumn("copies", copies).where("copies > 0").select("id", "source", "tokens", "copies")
+
+
+def mixed(sizes: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
+    """(doc_id, source, copy, tokens): each document of the mix once for each copy, numbered from 0."""
+    return copied(sizes, rated, seed).select(F.col("id").alias("doc_id"), "source", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "tokens")
+
+
+def used(sizes: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
+    """rated with used_tokens, what the mix's copies of each source hold; summed in the tasks before the shuffle."""
+    sums = copied(sizes, rated, seed).groupBy(F.col("source").alias("key")).agg(F.sum(F.col("copies") * F.col("tokens")).alias("used_tokens"))
+    return rated.join(sums, "key", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
+
+
+def short_sources(sizes: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
+    """(source) of the sources that the mix can't give their share: repeated as often as allowed, their copies still hold fewer tokens.
+
+    Only a source whose rate has reached its number of repeats can be short; another one that misses its share a little does so by chance of the last
+    copies. A source without tokens has no rate to raise. Without any tokens at all no share is missed.
+    """
+    at_most = (F.col("rate") >= F.col("max_repeats")) | (F.col("tokens") == 0) & F.col("max_repeats").isNotNull()
+    return used(sizes, rated, seed).where(at_most & (F.col("used_tokens") < F.col("target_share") * F.col("all_tokens"))).select("source")
 
 
 def shares(sizes: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
     """(source, target_share, max_repeats, tokens, rate, used_tokens, actual_share): what the mix really gives each source."""
-    used = mixed(sizes, rated, seed).groupBy(F.col("source").alias("key")).agg(F.sum("tokens").alias("used_tokens"))
-    out = rated.join(used, "key", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
     whole = F.sum("used_tokens").over(Window.partitionBy())  # a row for each source
-    return out.select("source", "target_share", "max_repeats", "tokens", F.round("rate", 6).alias("rate"), "used_tokens", F.round(F.coalesce(F.try_divide(F.col("used_tokens"), whole), F.lit(0.0)), 6).alias("actual_share"))
+    return used(sizes, rated, seed).select("source", "target_share", "max_repeats", "tokens", F.round("rate", 6).alias("rate"), "used_tokens", F.round(F.coalesce(F.try_divide(F.col("used_tokens"), whole), F.lit(0.0)), 6).alias("actual_share"))

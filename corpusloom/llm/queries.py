@@ -100,25 +100,23 @@ def p7_tiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sizes = mixing.document_sizes(table(spark, d, "documents"))
-    return sizes, mixing.rates(sizes, table(spark, d, "sources"))
+    sizes = cut(mixing.document_sizes(table(spark, d, "documents")))  # ids, sources and numbers: the texts are read once
+    return sizes, cut(mixing.rates(sizes, table(spark, d, "sources")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources too small for their share."""
-    return mixing.short_sources(_rated(spark, d)[1])
+    return mixing.short_sources(*_rated(spark, d))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share that each source really gets."""
-    sizes = cut(mixing.document_sizes(table(spark, d, "documents")))
-    return mixing.shares(sizes, mixing.rates(sizes, table(spark, d, "sources")))
+    return mixing.shares(*_rated(spark, d))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mixture, once for each copy."""
-    sizes = cut(mixing.document_sizes(table(spark, d, "documents")))
-    return mixing.mixed(sizes, mixing.rates(sizes, table(spark, d, "sources")))
+    return mixing.mixed(*_rated(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

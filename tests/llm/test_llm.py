@@ -221,6 +221,45 @@ def test_near_duplicates(spark):
     assert all(g[c]["links"] == sum(c in p for p in links) for c in {x["class_id"] for x in g.values()})
 
 
+def test_hot_keys_and_classes_are_split(spark, monkeypatch):
+    """Every key over a few documents goes to a grid of parts, units hold a few keys, and classes of three are joined apart; no pair is lost."""
+    for name, value in (("HOT", 3), ("UNIT", 40), ("BUCKET", 3000), ("COPIES", 2)):
+        monkeypatch.setattr(neardup, name, value)
+    r = random.Random(5)
+    foot = "share this page with all your friends today please".split()
+    rows = []
+    for _ in range(70):
+        base = [f"w{r.randrange(60)}" for _ in range(r.choice([4, 6, 8, 12, 40]))] + (foot if r.random() < 0.5 else [])
+        for _ in range(r.choice([1, 1, 2, 4])):
+            rows.append((len(rows), " ".join(w if r.random() > 0.06 else f"w{r.randrange(60)}" for w in base)))
+    rows += [(len(rows) + k, "one two three four five") for k in range(6)]
+    d = table(spark, [(i, t, None, None) for i, t in rows])
+    got = [tuple(x) for x in neardup.similar_pairs(d).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    g = {x["doc_id"]: x for x in neardup.groups(d).collect()}
+    assert len(g) == len(rows) and all(g[a]["group_id"] == g[b]["group_id"] for a, b in got)
+
+
+@given(st.integers(0, 2**32), st.integers(1, 40))
+@settings(max_examples=40, deadline=None)
+def test_grid_lets_every_entry_meet_every_probe(seed, hot):
+    r = np.random.default_rng(seed)
+    n = r.integers(5, 9, 30)
+    tok = np.concatenate([np.sort(r.choice(12, k, replace=False)) for k in n]).astype(np.uint64)
+    doc, band = np.repeat(np.arange(len(n)), n), np.full(len(n), 3)
+    df = np.bincount(tok.astype(np.int64), minlength=neardup.CELLS).astype(float)
+    budget = np.full(len(n), 3)
+    meet = {}
+    for h in (10**9, hot):
+        parts = neardup.parts_of(np.arange(5), np.full(5, 30.0), 80, h)
+        key, owner, kind = neardup.entries(n, doc, tok, band, budget, df, 30.0, 80, True, parts)
+        by = {}
+        for k, o, f in zip(key.tolist(), owner.tolist(), kind.tolist()):
+            by.setdefault(k, []).append((o, f))
+        meet[h] = {(a, b) for rows in by.values() for a, fa in rows if fa & 2 for b, fb in rows if not fb & 8 and a != b and (fa & 1 and (fb & 1 or fa & 4) or not fa & 1 and fb & 1)}
+    assert meet[10**9] == meet[hot]
+
+
 def test_odd_near_duplicates(spark, odd, none):
     assert neardup.similar_pairs(none).count() == 0 and neardup.groups(none).count() == 0
     assert {x["doc_id"] for x in neardup.groups(odd).collect()} == {4, 5, 6, 7}
@@ -321,7 +360,7 @@ def test_mixture(spark, odd, none, sources):
     rated = mixing.rates(sizes, sources)
     rate = {r["key"]: r["rate"] for r in rated.collect()}
     assert rate["a_b"] == pytest.approx(1.0) and rate["x"] == pytest.approx(0.6) and rate["gone"] == 0 and "out" not in rate
-    assert {r[0] for r in mixing.short_sources(rated).collect()} == {"gone"}
+    assert {r[0] for r in mixing.short_sources(sizes, rated).collect()} == {"gone"}
     n = Counter(r["source"] for r in mixing.mixed(sizes, rated).collect())
     assert n["a_b"] == 200 and 90 < n["x"] < 150
     assert mixing.mixed(sizes.repartition(7), rated).count() == sum(n.values())
@@ -330,7 +369,21 @@ def test_mixture(spark, odd, none, sources):
     for x in (odd, none):
         s = mixing.document_sizes(x)
         mixing.mixed(s, mixing.rates(s, sources)).collect(), mixing.shares(s, mixing.rates(s, sources)).collect()
-    assert {r[0] for r in mixing.short_sources(mixing.rates(mixing.document_sizes(none), sources)).collect()} == set()
+    e = mixing.document_sizes(none)
+    assert {r[0] for r in mixing.short_sources(e, mixing.rates(e, sources)).collect()} == set()
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 5), st.integers(1, 60)), min_size=1, max_size=6))
+@settings(max_examples=6, deadline=None)
+def test_short_sources_by_the_rule(spark, rows):
+    """The sources that the mix leaves short are those whose documents, repeated as allowed, hold too little."""
+    docs = [(100 * k + j, f"s{k}", 3 + j % 4) for k, (n, _, _) in enumerate(rows) for j in range(n)]
+    sizes = spark.createDataFrame(docs, "id bigint, source string, tokens bigint")
+    whole = sum(w for _, _, w in rows)
+    sources = spark.createDataFrame([(f"s{k}", w / whole, m) for k, (_, m, w) in enumerate(rows)], "source string, target_share double, max_repeats int")
+    total = sum(t for *_, t in docs)
+    want = {f"s{k}" for k, (_, m, w) in enumerate(rows) if m * sum(t for _, s, t in docs if s == f"s{k}") < w / whole * total}
+    assert {r[0] for r in mixing.short_sources(sizes, mixing.rates(sizes, sources)).collect()} == want
 
 
 # 9
