@@ -36,7 +36,7 @@ BAND = 1.7
 #: Segments beyond the least number, as a factor: what a probe may leave out.
 SLACK = 1.2
 #: Entries of a bucket, on average, and those of a unit, which also carry bitmaps: they are sorted in one task's memory.
-BUCKET, UNIT = 400_000, 100_000
+BUCKET, UNIT = 1_600_000, 200_000
 #: Documents that one key may lead to before it is split, and copies after which a class is joined apart.
 HOT = 250_000
 COPIES = 10_000
@@ -276,17 +276,22 @@ def _useful(t: pa.Table, unit: int) -> pa.Table:
 
 
 def _mapped(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows with their document's size and its bitmap, as wide as the unit's band asks."""
+    """A row for each of a document's units, with its size and its bitmap, as wide as the unit's band asks."""
     for b in slices(batches, "words"):
-        raw = b.column("words").to_pylist()
-        band = np.searchsorted(buckets, b.column("unit").to_numpy() >> 32, "right") - 1
+        raw, lists = b.column("words").to_pylist(), b.column("units")
+        row, each = np.repeat(np.arange(len(raw)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+        unit = each.field("unit").to_numpy()
+        band = np.searchsorted(buckets, unit >> 32, "right") - 1
         n = np.array([len(x) // 8 for x in raw], np.int64)
-        maps = np.empty(len(raw), object)
+        maps = np.empty(len(unit), object)
         for k in np.unique(band):
-            those = np.flatnonzero(band == k)
+            at = np.flatnonzero(band == k)
+            those, of = np.unique(row[at], return_inverse=True)
             rows = bitmaps(np.repeat(np.arange(len(those)), n[those]), np.frombuffer(b"".join(raw[i] for i in those), _U), len(those), width_of(int(k)))
-            maps[those] = [x.tobytes() for x in rows]
-        yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("id"), pa.array(n.astype(np.int32)), b.column("keys"), b.column("kinds"), pa.array(maps, pa.binary())], ["unit", "id", "n", "keys", "kinds", "map"])
+            own = np.empty(len(those), object)
+            own[:] = [x.tobytes() for x in rows]
+            maps[at] = own[of]
+        yield pa.RecordBatch.from_arrays([pa.array(unit), b.column("id").take(pa.array(row)), pa.array(n[row].astype(np.int32)), each.field("keys"), each.field("kinds"), pa.array(maps, pa.binary())], ["unit", "id", "n", "keys", "kinds", "map"])
 
 
 def _meet(t: pa.Table, percent: int) -> pa.Table:
@@ -386,7 +391,8 @@ class NearDuplicates:
         index = mine.mapInArrow(lambda it: _index(it, df, total, percent, buckets, parts), "bucket int, " + ", ".join(f"{x} binary" for x in INDEX))
         unit = UNIT
         useful = index.groupBy("bucket").applyInArrow(lambda t: _useful(t, unit), "id bigint, unit bigint, keys binary, kinds binary")
-        mapped = useful.join(mine, "id").select("id", "unit", "keys", "kinds", "words").mapInArrow(lambda it: _mapped(it, buckets), "unit bigint, id bigint, n int, keys binary, kinds binary, map binary")
+        useful = useful.groupBy("id").agg(F.collect_list(F.struct("unit", "keys", "kinds")).alias("units"))  # by the key that its words lie by
+        mapped = useful.join(mine, "id").select("id", "units", "words").mapInArrow(lambda it: _mapped(it, buckets), "unit bigint, id bigint, n int, keys binary, kinds binary, map binary")
         close = mapped.groupBy("unit").applyInArrow(lambda t: _meet(t, percent), "a bigint, b bigint").distinct()
         sides = close.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
         pairs = sides.join(sets, "id").groupBy("a", "b").agg(F.min_by("words", "id").alias("wa"), F.max_by("words", "id").alias("wb"))
