@@ -243,31 +243,43 @@ def _index(batches: Iterator[pa.RecordBatch], df: np.ndarray, total: float, perc
         run = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))
         count = np.diff(np.concatenate([run, [len(key)]])).astype(np.int32)
         at = np.searchsorted(run, cuts)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), _binary(ids[owner[run]], at), _binary(count, at), _binary(key, cuts), _binary(kind, cuts)], ["bucket", *INDEX])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), _binary(ids[owner[run]], at), _binary(n[owner[run]].astype(np.int32), at), _binary(count, at), _binary(key, cuts), _binary(kind, cuts)], ["bucket", *INDEX])
 
 
-INDEX = ["ids", "counts", "keys", "kinds"]
+INDEX = ["ids", "sizes", "counts", "keys", "kinds"]
 
 
 def _column(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
 
-def _useful(t: pa.Table, unit: int) -> pa.Table:
-    """(id, unit, keys, kinds): the entries of a bucket whose key is probed and held by another document, too, by units of whole keys."""
+def _useful(t: pa.Table, unit: int, percent: int) -> pa.Table:
+    """(id, unit, keys, kinds): the entries of a bucket that may meet one of another document, by kind and by size, in units of whole keys."""
     count = _column(t, "counts", np.int32)
     row = np.repeat(np.arange(len(count), dtype=np.int32), count)
-    ids, key, kind = _column(t, "ids", np.int64), _column(t, "keys", np.uint32), _column(t, "kinds", np.uint8)
+    ids, sizes, key, kind = _column(t, "ids", np.int64), _column(t, "sizes", np.int32), _column(t, "keys", np.uint32), _column(t, "kinds", np.uint8)
     order = np.argsort(key, kind="stable")
     key, kind, row = key[order], kind[order], row[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    start = np.flatnonzero(first)
-    ends = np.concatenate([start[1:], [len(key)]])
-    some = (np.logical_or.reduceat(kind & 2 > 0, start)) & (np.logical_or.reduceat(kind & 8 == 0, start)) & (np.minimum.reduceat(row, start) < np.maximum.reduceat(row, start))
-    length = (ends - start)[some]
-    keep = np.repeat(some, ends - start)
-    number = np.repeat((np.cumsum(length) - length) // unit, length)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = np.minimum.reduceat(row, start) < np.maximum.reduceat(row, start)
+    keep = np.repeat(several, np.diff(np.concatenate([start, [len(key)]])))
     key, kind, row = key[keep], kind[keep], row[keep]
+    if not len(key):
+        return pa.table({"id": pa.array([], pa.int64()), "unit": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "kinds": pa.array([], pa.binary())})
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    group = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(key)]])))
+    n, whole, probe, index = sizes[row].astype(np.int64), kind & 1 > 0, kind & 2 > 0, kind & 8 == 0
+    some = lambda x: np.logical_or.reduceat(x, start)[group]
+    least = lambda x: np.minimum.reduceat(np.where(x, n, 1 << 60), start)[group]
+    most = lambda x: np.maximum.reduceat(np.where(x, n, -1), start)[group]
+    # parts don't meet parts, and a whole subset meets parts only if the probe allows a deletion
+    as_index = index & np.where(whole, some(probe), some(probe & (kind & 4 > 0))) & (n <= most(probe)) & (n >= shared(np.where(some(probe), least(probe), 0), percent))
+    as_probe = probe & np.where(whole, some(index & whole) | (kind & 4 > 0), some(index & whole)) & (most(index) >= shared(n, percent)) & (least(index) <= n)
+    keep = (as_index & some(as_probe)) | (as_probe & some(as_index))
+    key, kind, row = key[keep], kind[keep], row[keep]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate([start, [len(key)]])).astype(np.int64)
+    number = np.repeat((np.cumsum(length) - length) // unit, length)
     order = np.lexsort((row, number))
     key, kind, row, number = key[order], kind[order], row[order], number[order]
     new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (number[1:] != number[:-1])])) if len(row) else np.zeros(0, np.int64)
@@ -390,7 +402,7 @@ class NearDuplicates:
         mine = sets.join(reps.select(F.col("rep").alias("id")), "id").select("id", "words")
         index = mine.mapInArrow(lambda it: _index(it, df, total, percent, buckets, parts), "bucket int, " + ", ".join(f"{x} binary" for x in INDEX))
         unit = UNIT
-        useful = index.groupBy("bucket").applyInArrow(lambda t: _useful(t, unit), "id bigint, unit bigint, keys binary, kinds binary")
+        useful = index.groupBy("bucket").applyInArrow(lambda t: _useful(t, unit, percent), "id bigint, unit bigint, keys binary, kinds binary")
         useful = useful.groupBy("id").agg(F.collect_list(F.struct("unit", "keys", "kinds")).alias("units"))  # by the key that its words lie by
         mapped = useful.join(mine, "id").select("id", "units", "words").mapInArrow(lambda it: _mapped(it, buckets), "unit bigint, id bigint, n int, keys binary, kinds binary, map binary")
         close = mapped.groupBy("unit").applyInArrow(lambda t: _meet(t, percent), "a bigint, b bigint").distinct()
