@@ -99,6 +99,11 @@ def p7_tiles(spark: SparkSession, d: str) -> DataFrame:
     return tiling.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p7_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Items of which tiles cover at least half, in any order, and the share covered."""
+    return tiling.covered(p7_tiles(spark, d))
+
+
 def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = cut(mixing.document_sizes(table(spark, d, "documents")))  # ids, sources and numbers: the texts are read once
     return sizes, cut(mixing.rates(sizes, table(spark, d, "sources")))
@@ -130,7 +135,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_vocabulary, p1_terms, p2_found, p2_segments, p2_languages, p3_token_budget, p3_rollup, p4_blocks, p4_summary, p5_found, p5_groups, p6_found, p6_texts, p7_found, p7_tiles, p8_found, p8_shares, p8_mix, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_vocabulary, p1_terms, p2_found, p2_segments, p2_languages, p3_token_budget, p3_rollup, p4_blocks, p4_summary, p5_found, p5_groups, p6_found, p6_texts, p7_found, p7_tiles, p7_covered, p8_found, p8_shares, p8_mix, p9_found, p9_rates)}
 
 
 _PIECES = r"list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')"

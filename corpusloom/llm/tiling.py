@@ -1,8 +1,8 @@
 """Evaluation texts in training texts, by greedy string tiling (problem 7).
 
 Shared-token seeds come first: a rolling hash (Karp and Rabin's) over every run of a few words in the documents is looked up among the seeds of the
-items. A pair of document and item that shares a seed is tiled: again and again the longest run of words that is unmarked on both sides is found by
-hashed runs, extended word by word, and marked, until no run of the least length is left. The tiles tell the item's covered share, whatever the order
+items. A pair of document and item that shares a seed is tiled: again and again the longest runs of words that are unmarked on both sides are found by
+hashed runs of falling lengths and marked, until no run of the least length is left. The tiles tell the item's covered share, whatever the order
 of the passages, and the longest unbroken run.
 """
 
@@ -53,30 +53,53 @@ def rolling(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in document, words), longest first, none overlapping another on either side; ties go to the first places."""
-    free_i, free_d, tiles = np.ones(len(item), bool), np.ones(len(doc), bool), []
-    where = defaultdict(list)
-    for p, h in enumerate(rolling(item, least).tolist()):
-        where[h].append(p)
-    seeds = [(p, q) for q, h in enumerate(rolling(doc, least).tolist()) if h in where for p in where[h]]
-    starts = set(seeds)
-    while True:
-        best = (least - 1, 0, 0)
-        for p, q in seeds:
-            if (p - 1, q - 1) in starts and free_i[p - 1] and free_d[q - 1]:
-                continue  # inside a longer run
-            n = 0
-            while p + n < len(item) and q + n < len(doc) and free_i[p + n] and free_d[q + n] and item[p + n] == doc[q + n]:
-                n += 1
-            if n > best[0]:
-                best = (n, p, q)
-        if best[0] < least:
-            return tiles
-        n, p, q = best
-        tiles.append((p, q, n))
-        free_i[p : p + n] = free_d[q : q + n] = False
-        seeds = [(a, b) for a, b in seeds if free_i[a : a + least].all() and free_d[b : b + least].all()]
-        starts = set(seeds)
+    """Tiles (place in item, place in document, words), longest first, none overlapping another on either side; ties go to the first places.
+
+    Search lengths fall: a bisection finds the longest run of unmarked words that both sides hold, by Karp and Rabin's hashes of all runs of a length, and
+    one pass marks all runs of that length. A pass takes time in proportion to the words, however repetitive they are; lengths only fall.
+    """
+    sides = [np.asarray(item, np.uint64), np.asarray(doc, np.uint64)]
+    free = [np.ones(len(x), bool) for x in sides]
+    sums = []
+    power = np.cumprod(np.full(max(map(len, sides)) + 1, _BASE, np.uint64))
+    power = np.concatenate([[np.uint64(1)], power])
+    for x in sides:  # prefix sums of word * base^place: a run's hash is a difference, brought to a common power
+        sums.append(np.concatenate([[np.uint64(0)], np.cumsum(x * _MIX * power[: len(x)])]))
+    top = len(power) - 1
+
+    def runs(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the unmarked runs of n words."""
+        marked = np.concatenate([[0], np.cumsum(~free[k])])
+        at = np.flatnonzero(marked[n:] == marked[:-n]) if len(sides[k]) >= n else np.zeros(0, np.int64)
+        return at, (sums[k][at + n] - sums[k][at]) * power[top - at]
+
+    tiles, high = [], min(map(len, sides))
+    while high >= least:
+        low = least - 1
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if np.isin(runs(0, n)[1], runs(1, n)[1]).any() else (low, n - 1)
+        if low < least:
+            break
+        (p, hp), (q, hq) = runs(0, low), runs(1, low)
+        inside = np.isin(hq, hp)
+        where = defaultdict(list)
+        for place, h in zip(q[inside][::-1].tolist(), hq[inside][::-1].tolist()):
+            where[h].append(place)  # the first place comes off last
+        inside = np.isin(hp, hq)
+        found = 0
+        for i, h in zip(p[inside].tolist(), hp[inside].tolist()):
+            if not free[0][i : i + low].all():
+                continue
+            while where[h] and not free[1][where[h][-1] : where[h][-1] + low].all():
+                where[h].pop()  # a marked place is never free again
+            if where[h] and (sides[0][i : i + low] == sides[1][where[h][-1] : where[h][-1] + low]).all():
+                j = where[h].pop()
+                tiles.append((i, j, low))
+                free[0][i : i + low] = free[1][j : j + low] = False
+                found += 1
+        high = low if found else low - 1  # only a collision of hashes finds none
+    return tiles
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int, bytes]], share: float) -> Iterator[pa.RecordBatch]:
@@ -121,12 +144,15 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, id: str = "doc_
     Letter case, punctuation, spacing and character variants don't count. Items without words match nothing; items with the same words each get their
     rows, and so do rows that repeat a text. Null ids stay null. Documents aren't shuffled: the items go to the tasks, in blocks of ITEMS.
     """
-    prepared = [(r[0], coded(r[1])) for r in items.select(item_id, text).toLocalIterator()]
-    prepared = [(i, a.tobytes()) for i, a in prepared if len(a)]
-    found = None
-    for at in range(0, max(1, len(prepared)), ITEMS):
-        block = prepared[at : at + ITEMS]
-        rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it, block=block: _search(it, block, share), "doc_id bigint, item_id bigint, words int, covered int, longest int, tiles int")
+    spark, found = docs.sparkSession, None
+    items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    many = max(1, -(-items.count() // ITEMS))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(many))
+    for k in range(many):
+        # the blocks are hashed, so one may hold a few more items than ITEMS; a block is on the driver only while it is sent
+        block = [(r[0], coded(r[1]).tobytes()) for r in items.where(part == k).collect()]
+        sent = spark.sparkContext.broadcast(sorted(((i, x) for i, x in block if x), key=lambda t: (t[0] is None, t[0] or 0, t[1])))
+        rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it, sent=sent: _search(it, sent.value, share), "doc_id bigint, item_id bigint, words int, covered int, longest int, tiles int")
         found = rows if found is None else found.unionByName(rows)
     return found
 
@@ -134,3 +160,9 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, id: str = "doc_
 def leaked(pairs: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id) of the pairs whose longest unbroken run has at least that share of the item's words."""
     return pairs.where(F.col("longest") >= F.col("words") * share).select("doc_id", "item_id").distinct()
+
+
+def covered(pairs: DataFrame, share: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, coverage) of the pairs whose tiles cover at least that share of the item's words: also reordered and interrupted passages."""
+    coverage = F.round(F.col("covered") / F.col("words"), 6)
+    return pairs.where(F.col("covered") >= F.col("words") * share).groupBy("doc_id", "item_id").agg(F.max(coverage).alias("coverage"))

@@ -1,6 +1,7 @@
 """The operators for training data: golden cases, brute force, and odd tables."""
 
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -328,13 +329,50 @@ def test_tiles(a, b):
     assert all(a[p : p + n] == b[q : q + n] for p, q, n in tiles)
 
 
-def test_leaks(spark, odd, none):
+def greedy(a, b, least):
+    """Tiling by its definition: the longest unmarked common run, the first places first, again and again."""
+    free, tiles = [[True] * len(a), [True] * len(b)], []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and free[0][i + n] and free[1][j + n] and a[i + n] == b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return tiles
+        tiles.append((i, j, n))
+        for k in range(n):
+            free[0][i + k] = free[1][j + k] = False
+
+
+@given(st.lists(st.integers(1, 4), max_size=14), st.lists(st.integers(1, 4), max_size=14), st.integers(1, 3))
+@settings(max_examples=200, deadline=None)
+def test_tiles_by_definition(a, b, least):
+    assert tiling.tile(np.array(a, np.uint64), np.array(b, np.uint64), least) == greedy(a, b, least)
+
+
+def test_tiling_of_repetitive_texts_is_fast():
+    r = random.Random(2)
+    words = lambda n: np.array([k % 5 + 1 if r.random() > 0.02 else 100 + r.randrange(50) for k in range(n)], np.uint64)
+    began = time.process_time()
+    tiles = tiling.tile(words(400), words(8000), 5)
+    assert time.process_time() - began < 2 and sum(n for *_, n in tiles) > 200
+
+
+def test_leaks(spark, odd, none, monkeypatch):
     w = [f"w{k}" for k in range(20)]
     items = spark.createDataFrame([(1, " ".join(w), 0), (2, " ".join(w).upper() + "!", 0), (3, None, 0), (4, "", 0), (5, "one two three", 0)], "item_id bigint, text string, doc_id int")
     d = table(spark, [(10, "x y " + ",\n".join(w[3:14]) + " z", None, None), (11, " ".join(w[:9]) + " q " + " ".join(w[9:18]), None, None), (12, " ".join(w[10:] + w[:10]), None, None), (13, "z two  Three.", None, None), (14, None, None, None)])
     pairs = tiling.leaks(d, items)
+    monkeypatch.setattr(tiling, "ITEMS", 2)
+    assert sorted(tiling.leaks(d, items).collect()) == sorted(pairs.collect())
     assert {tuple(r) for r in tiling.leaked(pairs).collect()} == {(10, 1), (10, 2), (12, 1), (12, 2), (13, 5)}
     assert pairs.where("doc_id = 12 and item_id = 1").first()["covered"] == 20
+    assert {(r[0], r[1]): r[2] for r in tiling.covered(pairs).collect()}[11, 1] == 0.9
     assert tiling.leaks(none, items).count() == 0 and tiling.leaks(odd, items.where("false")).count() == 0
     assert {r["doc_id"] for r in tiling.leaks(odd, spark.createDataFrame([(1, "కల మల ఒక చాలా ఇది కల")], "item_id bigint, text string")).collect()} >= {5}
 
