@@ -305,6 +305,19 @@ def test_variants(spark, odd, none):
     assert confusables.variant_documents(none).count() == 0 and confusables.canonical_texts(none).count() == 0
 
 
+def test_classes_decide(spark):
+    """Composed and decomposed spellings and invisible characters meet by the collation alone; the most frequent usual spelling stands for the class."""
+    nfd = unicodedata.normalize("NFD", "café")
+    assert confusables.classes_of(nfd) == [(nfd, "café")] and confusables.classes_of("ca\u200bf")[0][0] == "ca\u200bf"
+    d = table(spark, [(1, nfd + " ca\u200bfé x", None, None), (2, "café Café", None, None), (3, "పంಡుಗು ಕ\u200bಲ", None, None), (4, "కಲ", None, None), (5, "ಕಲ ಕಲ కల", None, None), (6, "Мау", None, None), (7, "ഉனம் ૨०१", None, None)])
+    got = {r["value"]: r["canonical"] for r in confusables.canonical_values(d).collect()}
+    assert got[nfd] == got["ca\u200bfé"] == "café" and got["కಲ"] == "ಕಲ" and got["ಕ\u200bಲ"] == "ಕಲ" and got["Мау"] == "May"
+    assert got["ഉனம்"] == "உனம்" and got["૨०१"] == "२०१" and "Café" not in got and "కల" not in got
+    # the same word goes to Telugu where Telugu texts have it more often
+    more = table(spark, [(4, "కಲ", None, None), (5, "ಕಲ కల కల", None, None)])
+    assert {r["value"]: r["canonical"] for r in confusables.canonical_values(more).collect()} == {"కಲ": "కల"}
+
+
 def test_texts_without_an_id(spark):
     d = table(spark, [(None, "kаrfоѕ x", None, None), (None, "y kаrfоѕ\u00a0a", None, None), (None, None, None, None), (1, "kаrfоѕ", None, None), (1, "z kаrfоѕ", None, None)])
     assert sorted(map(str, confusables.canonical_texts(d).select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(None, "karfos x"), (None, "y karfos a"), (None, None), (1, "karfos"), (1, "z karfos")])
