@@ -454,3 +454,28 @@ def test_cut_texts(spark, odd, none):
     assert rate["s"]["documents"] == len(whole + cut + debris + fine)
     assert truncation.judged(none).count() == 0
     assert sorted(x["doc_id"] or 0 for x in truncation.judged(odd).collect()) == [0, 4, 4, 5, 6]
+
+
+def test_kinds_of_last_lines(spark):
+    """Rare kinds of last lines are known by their length, sentences by their first word, and headlines by their number: no count is a limit."""
+    r = random.Random(4)
+    words = ["".join(r.choice("aeioubcdfg") for _ in range(6)) for _ in range(120)]
+    sentence = lambda n: " ".join(r.choice(words) for _ in range(n)) + "."
+    texts = [sentence(9) + " " + sentence(11) + "\n" + sentence(12) for _ in range(120)]
+    byline = [t + f"\nBy {words[k]}" for k, t in enumerate(texts[:8])] + [texts[9] + "\nPhoto: Zuz", texts[10] + "\nRelated pages"]
+    opened = [texts[20] + "\n" + " ".join([words[0]] + [words[k]] + [words[3][:2]]) for k in range(1)] + [texts[30 + k][:-9] for k in range(6)]
+    heads = [" ".join(r.choice(words) for _ in range(r.randrange(7, 10))) for _ in range(6)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts + byline + opened + heads)]
+    found = {x["doc_id"]: x for x in truncation.judged(table(spark, rows)).collect()}
+    n = len(texts) + len(byline)
+    assert {k for k, x in found.items() if x["cut"]} == set(range(n, n + len(opened)))
+    assert all(x["column_kind"] == "line" for k, x in found.items() if 120 <= k < n)
+
+
+def test_languages_have_thresholds_of_their_own(spark):
+    r = random.Random(6)
+    text = lambda a, stop: "\n".join(" ".join("".join(r.choice(a) for _ in range(5)) for _ in range(8)) + stop for _ in range(3))
+    rows = [(k, text("abcde", "."), "en", "s") for k in range(60)] + [(100 + k, text("अआकखग", "।"), "hi", "s") for k in range(60)] + [(200, text("अआकखग", "।"), "en", "s"), (201, text("अआकखग", "।")[:-4], "hi", "s"), (202, text("abcde", ".")[:-3], None, "s")]
+    found = truncation.judged(table(spark, rows))
+    assert {x["doc_id"] for x in found.where("cut").collect()} == {201, 202}
+    assert found.select("lang", "threshold").distinct().where("lang <> 'und'").count() == 2
