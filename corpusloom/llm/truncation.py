@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import cut
 from .arrow import slices
 from .confusables import Keys, fold
-from .labels import lang_code, source_key
+from .labels import LANGS, lang_code, source_key
 
 #: Characters of the longest context, and places by which an order leans on the shorter one.
 ORDER, LEAN = 6, 20.0
@@ -121,20 +121,23 @@ def _ends_of_contexts(words: DataFrame, contexts: DataFrame) -> DataFrame:
     places = words.select("lang", F.concat(F.lit(" "), "w").alias("w"), "n", "ends", at)
     whole = F.col("at") == F.length("w") - 1
     places = places.select("lang", F.expr(f"substring(w, greatest(at + 2 - {ORDER}, 1), least({ORDER}, at + 1))").alias("c"), F.when(whole, F.col("n") - F.col("ends")).otherwise(F.col("n")).alias("on"), F.when(whole, F.col("ends")).otherwise(0).alias("ends"))
-    sums = (F.sum("on").alias("on"), F.sum("ends").alias("ends"))
-    longest = places.groupBy("lang", "c").agg(*sums)
-    own = longest.select("lang", F.explode(F.sequence(F.lit(1), F.length("c"))).alias("k"), "c", "on", "ends").select("lang", "k", F.expr("right(c, k)").alias("c"), "on", "ends").groupBy("lang", "k", "c").agg(*sums)
-    model = own.unionByName(own.groupBy("k", "c").agg(*sums).withColumn("lang", F.lit("*")))
-    tails = contexts.select("lang", "context", F.explode(F.sequence(F.lit(1), F.length("context"))).alias("k")).select("*", F.explode(F.array(F.lit("*"), "lang")).alias("of"))
-    tails = tails.withColumn("c", F.expr("right(context, k)"))
-    known = tails.join(model.withColumnRenamed("lang", "of"), ["of", "k", "c"]).groupBy("lang", "context").agg(F.sort_array(F.collect_list(F.struct((F.col("of") != "*").alias("own"), "k", "ends", "on"))).alias("seen"))
+    longest = places.groupBy("lang", "c").agg(F.sum("on").alias("on"), F.sum("ends").alias("ends"))
+    # a row for each order and context, with each language's counts beside each other: they travel once
+    codes = [*LANGS, "und"]
+    suffixes = longest.select("lang", F.explode(F.sequence(F.lit(1), F.length("c"))).alias("k"), "c", "on", "ends").select("lang", "k", F.expr("right(c, k)").alias("c"), "on", "ends")
+    model = suffixes.groupBy("k", "c").agg(*(F.sum(F.when(F.col("lang") == g, F.col(x))).alias(f"{x}_{g}") for g in codes for x in ("ends", "on")))
+    # its own language's places and a part of the others': labels are wrong at times
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    own = lambda x: zero(F.coalesce(*(F.when(F.col("lang") == g, F.col(f"{x}_{g}")) for g in codes)))
+    all_ = lambda x: sum((zero(F.col(f"{x}_{g}")) for g in codes[1:]), zero(F.col(f"{x}_{codes[0]}")))
+    mixed = lambda x: (own(x) * (1 - OTHERS) + all_(x) * OTHERS).alias(x)
+    tails = contexts.select("lang", "context", F.explode(F.sequence(F.lit(1), F.length("context"))).alias("k")).withColumn("c", F.expr("right(context, k)"))
+    seen = tails.join(model, ["k", "c"]).select("lang", "context", F.struct("k", mixed("ends"), mixed("on")).alias("x"))
+    known = seen.groupBy("lang", "context").agg(F.sort_array(F.collect_list("x")).alias("seen"))
     score = contexts.select("lang", "context").join(known, ["lang", "context"], "left").join(base, "lang", "left")
     start = F.coalesce("base", F.lit(-6.0))
-    # of each order, its own language's places and a part of the others' (labels are wrong at times): the sums over all languages hold the own ones
-    sums_of = lambda k, c: F.aggregate(F.filter("seen", lambda x: x["k"] == k), F.lit(0.0), lambda z, x: z + x[c] * F.when(x["own"], 1 - OTHERS).otherwise(OTHERS))
-    seen = F.transform(F.when(F.col("seen").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(ORDER))), lambda k: F.struct(sums_of(k, "ends").alias("ends"), sums_of(k, "on").alias("on")))
     # from the shortest context to the longest, each share of ends leans on the one before by LEAN places
-    share = F.aggregate(seen, F.exp(start) / (1 + F.exp(start)), lambda p, x: (x["ends"] + p * LEAN) / (x["ends"] + x["on"] + LEAN))
+    share = F.aggregate(F.coalesce("seen", F.array()), F.exp(start) / (1 + F.exp(start)), lambda p, x: (x["ends"] + p * LEAN) / (x["ends"] + x["on"] + LEAN))
     return score.select("lang", "context", "base", F.coalesce("threshold", start * (1 - WAY)).alias("threshold"), _odds(share).alias("log_odds"))
 
 
