@@ -1,15 +1,15 @@
 """The languages of documents and of their segments, by prediction by partial matching (problem 2).
 
 For each language a tree of byte contexts of every order up to ORDER holds the counts of the bytes that follow, taken from samples of known language and
-frozen. A byte's code length is read off the longest context that knows the byte; each context that doesn't adds an escape, whose probability grows
-with the context's distinct bytes. Contexts reach back to the blank before a word, so a word has one exact code length in each language, which a task
-remembers. Sentences sum up their words; neighbouring sentences of one language make a segment.
+frozen. A byte's code length is read off the longest context that knows the byte; each context that doesn't adds an escape, whose probability grows with
+the context's distinct bytes, and bytes that a longer context knows are excluded from the shorter ones, so that the probabilities of all bytes sum to one.
+Contexts run across blanks within a sentence. A byte and its context are one 64-bit number, so a task computes the lengths of each distinct one once. Sentences sum
+up their bytes; neighbouring sentences of one language make a segment.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,87 +22,133 @@ from .arrow import slices
 from .confusables import compare_key, fold
 from .labels import LANGS, lang_code
 
-ORDER = 7
+ORDER = 7  # with the byte itself a context fills 64 bits
 #: Rows of samples that are used at most, by language: the models' size follows from it.
 SAMPLES = 5_000
-#: Bits by which one word can speak against a language: a quoted phrase doesn't outvote its sentence.
-CAP = 14.0
-#: Words of a sentence that counts, and bits by which its language must lead if it isn't the document's main one.
-LEAST_WORDS, LEAD = 8, 15.0
+#: Words of a sentence that counts, and bits by which its language must lead over the next one, and over the document's main one, if it is another.
+LEAST_WORDS, LEAD, OVER_MAIN = 8, 15.0, 40.0
+#: Distinct bytes in context, and distinct pieces, that a task remembers.
+MOST_WINDOWS, MOST_PIECES = 1_000_000, 200_000
+_U = np.uint64
+_MASK = [_U((1 << 8 * n) - 1) for n in range(9)]
 
 _end = re.compile(r"[.?!।॥]+[\"'”’)\]}]*$")
 
 
-def train(samples: list[tuple[str, str]], order: int = ORDER) -> tuple:
-    """Frozen statistics of (language, text) rows: for each language of LANGS a context -> (byte -> count) tree as plain dictionaries."""
-    trees = {g: defaultdict(Counter) for g in LANGS}
-    for lang, text in samples:
-        for w in (text or "").split():
-            k = compare_key(w)
-            if lang in trees and any(c.isalpha() for c in k):
-                s = f" {k} ".encode("utf-8", "replace")
-                for i in range(1, len(s)):
-                    for n in range(min(order, i) + 1):
-                        trees[lang][s[i - n : i]][s[i]] += 1
-    return tuple({c: dict(x) for c, x in trees[g].items()} for g in LANGS)
+def piece_bytes(piece: str) -> bytes:
+    """What a piece adds to its sentence: its folded letters and a blank; nothing if it has no letters."""
+    key = compare_key(piece)
+    return key.replace("\0", "").encode("utf-8", "replace") + b" " if any(c.isalpha() for c in key) else b""
+
+
+def windows(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with the ORDER bytes before it in its sentence as a 64-bit number, the byte itself lowest; and its place in the sentence."""
+    a = np.frombuffer(data, np.uint8)
+    place = np.arange(len(a)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(a)]])))
+    w = np.zeros(len(a), _U)
+    for k in range(min(ORDER, len(a) - 1) + 1):
+        w[k:] |= a[: len(a) - k].astype(_U) << _U(8 * k)
+    return w & np.array(_MASK[1:], _U)[np.minimum(place, ORDER)], place
+
+
+class Tree:
+    """The frozen counts of one language: for each order its contexts and its pairs of context and byte, sorted."""
+
+    def __init__(self, texts: list[str]):
+        parts = [b" " + x for t in texts if (x := b"".join(map(piece_bytes, t.split())))]
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        w, place = windows(b"".join(parts), starts)
+        self.pairs, self.count, self.context, self.total, self.kinds, self.parent, self.rest, self.rest_kinds = ([] for _ in range(8))
+        for n in range(ORDER + 1):
+            pairs, count = np.unique(w[place > max(n - 1, 0)] & _MASK[n + 1], return_counts=True)  # the first blank is given
+            context, of = np.unique(pairs >> _U(8), return_inverse=True)
+            total, kinds = np.bincount(of, count, len(context)), np.bincount(of, minlength=len(context))
+            parent, rest, rest_kinds = np.zeros(len(context), np.int64), total, kinds
+            if n:
+                # what the next shorter context holds besides the bytes of this one, all of which it knows
+                parent = np.searchsorted(self.context[-1], context & _MASK[n - 1])
+                shorter = self.count[-1][np.searchsorted(self.pairs[-1], pairs & _MASK[n])]
+                rest = self.total[-1][parent] - np.bincount(of, shorter, len(context))
+                rest_kinds = self.kinds[-1][parent] - kinds
+            for x, y in zip((self.pairs, self.count, self.context, self.total, self.kinds, self.parent, self.rest, self.rest_kinds), (pairs, count, context, total, kinds, parent, rest, rest_kinds)):
+                x.append(y)
+
+    def bits(self, w: np.ndarray) -> np.ndarray:
+        """Code lengths of bytes in context."""
+        out, node, order = np.zeros(len(w)), np.zeros(len(w), np.int64), np.full(len(w), -1)
+        if not len(self.context[0]):
+            return out + 8
+        for n in range(ORDER, -1, -1):  # the longest context that is known at all
+            todo = np.flatnonzero(order < 0)
+            key = (w[todo] >> _U(8)) & _MASK[n]
+            at = np.searchsorted(self.context[n], key)
+            hit = np.flatnonzero(self.context[n][np.minimum(at, len(self.context[n]) - 1)] == key) if len(self.context[n]) else []
+            order[todo[hit]], node[todo[hit]] = n, at[hit]
+        total, kinds = np.zeros(len(w)), np.zeros(len(w))
+        left = np.ones(len(w), bool)
+        for n in range(ORDER, -1, -1):
+            rows = np.flatnonzero(left & (order >= n))
+            first = rows[order[rows] == n]
+            total[first], kinds[first] = self.total[n][node[first]], self.kinds[n][node[first]]
+            if not len(rows):
+                continue
+            key = w[rows] & _MASK[n + 1]
+            at = np.minimum(np.searchsorted(self.pairs[n], key), len(self.pairs[n]) - 1)
+            hit = self.pairs[n][at] == key
+            known, missed = rows[hit], rows[~hit]
+            out[known] += np.log2(total[known] + kinds[known]) - np.log2(self.count[n][at[hit]])
+            left[known] = False
+            out[missed] += np.log2((total[missed] + kinds[missed] + (kinds[missed] == 0)) / np.maximum(kinds[missed], 1))  # without kinds left nothing is left to escape from
+            if n:
+                here = node[missed]
+                total[missed], kinds[missed], node[missed] = self.rest[n][here], self.rest_kinds[n][here], self.parent[n][here]
+        out[left] += np.log2(256 - self.kinds[0][0])
+        return out
+
+
+def train(samples: list[tuple[str, str]]) -> tuple[Tree, ...]:
+    """Frozen statistics of (language, text) rows, for each language of LANGS."""
+    return tuple(Tree([t or "" for lang, t in samples if lang == g]) for g in LANGS)
 
 
 class Scorer:
-    """Code lengths of words under the frozen trees."""
+    """Code lengths under the frozen trees, with a bounded memory of pieces and of bytes in context."""
 
-    def __init__(self, trees: tuple, order: int = ORDER, most: int = 200_000):
-        self.order, self.most = order, most
-        self.trees = [{c: (x, sum(x.values()) + len(x), np.log2(sum(x.values()) + len(x)), np.log2((sum(x.values()) + len(x)) / len(x))) for c, x in t.items()} for t in trees]
-        self.steps: dict[tuple[bytes, int], np.ndarray] = {}
+    def __init__(self, trees: tuple[Tree, ...]):
+        self.trees = trees
+        self.windows, self.lengths = np.zeros(0, _U), np.zeros((len(LANGS), 0), np.float32)
         self.reset()
 
     def reset(self) -> None:
         self.rows: dict[str, int] = {}
-        self.bits = np.zeros((1 << 14, len(LANGS)), np.float32)
-        self.ends = np.zeros(1 << 14, bool)
-        self.counts = np.zeros(1 << 14, bool)
-
-    def step(self, context: bytes, byte: int) -> np.ndarray:
-        """Code length of a byte after a context in each language."""
-        key = (context, byte)
-        if (x := self.steps.get(key)) is None:
-            x = np.zeros(len(LANGS))
-            for g, tree in enumerate(self.trees):
-                bits = 0.0
-                for n in range(len(context), -1, -1):
-                    if (node := tree.get(context[len(context) - n :])) is not None:
-                        if (c := node[0].get(byte)) is not None:
-                            bits += node[2] - np.log2(c)
-                            break
-                        bits += node[3]
-                else:
-                    bits += 8.0
-                x[g] = bits
-            if len(self.steps) > 4 * self.most:
-                self.steps.clear()
-            self.steps[key] = x
-        return x
-
-    def word(self, key: str) -> np.ndarray:
-        s = f" {key} ".encode("utf-8", "replace")
-        return sum(self.step(s[max(0, i - self.order) : i], s[i]) for i in range(1, len(s)))
+        self.bytes: list[bytes] = []
+        self.ends: list[bool] = []
+        self.counts: list[bool] = []
 
     def __getitem__(self, piece: str) -> int:
-        """The row of a piece in bits, ends and counts."""
+        """The row of a piece in bytes, ends and counts."""
         if (r := self.rows.get(piece)) is None:
-            r = len(self.rows)
-            if r >= len(self.bits):
-                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
-                self.ends, self.counts = np.concatenate([self.ends, self.ends & False]), np.concatenate([self.counts, self.counts & False])
-            key = compare_key(piece)
-            self.rows[piece] = r
-            self.ends[r] = bool(_end.search(fold(piece)))
-            self.counts[r] = bool(key)
-            if any(c.isalpha() for c in key):
-                bits = self.word(key)
-                self.bits[r] = np.minimum(bits - bits.min(), CAP)
+            r = self.rows[piece] = len(self.rows)
+            self.bytes.append(piece_bytes(piece))
+            self.ends.append(bool(_end.search(fold(piece))))
+            self.counts.append(bool(compare_key(piece)))
         return r
 
+    def bits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of bytes in context in the lengths (a row for each language), and the lengths."""
+        distinct, of = np.unique(w, return_inverse=True)
+        if len(self.windows) > MOST_WINDOWS:
+            self.windows, self.lengths = self.windows[:0], self.lengths[:, :0]
+        at = np.searchsorted(self.windows, distinct)
+        new = distinct[self.windows[np.minimum(at, len(self.windows) - 1)] != distinct] if len(self.windows) else distinct
+        if len(new):
+            keys = np.concatenate([self.windows, new])
+            order = np.argsort(keys, kind="stable")
+            self.lengths = np.concatenate([self.lengths, np.array([t.bits(new) for t in self.trees], np.float32)], 1)[:, order]
+            self.windows = keys[order]
+            at = np.searchsorted(self.windows, distinct)
+        return at[of], self.lengths
+
 
 @lru_cache(2)
 def _scorer(samples: tuple) -> Scorer:
@@ -111,7 +157,7 @@ def _scorer(samples: tuple) -> Scorer:
 
 def sentences(texts: list[str | None], s: Scorer):
     """Arrays of the sentences of texts, in order: document, first piece, pieces, words, bits (a row of LANGS)."""
-    if len(s.rows) > s.most:
+    if len(s.rows) > MOST_PIECES:
         s.reset()
     code, doc, close = [], [], []
     for d, t in enumerate(texts):
@@ -122,13 +168,23 @@ def sentences(texts: list[str | None], s: Scorer):
                 close += [False] * (len(row) - 1) + [True]
     if not code:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros((0, len(LANGS))),)
+    parts = [s.bytes[c] for c in code]
     code, doc = np.array(code), np.array(doc)
-    last = np.array(close) | s.ends[code]
+    last = np.array(close) | np.array(s.ends)[code]
     start = np.flatnonzero(np.concatenate([[True], last[:-1]]))
     size = np.diff(np.concatenate([start, [len(code)]]))
+    for k in start.tolist():
+        parts[k] = b" " + parts[k]
+    length = np.add.reduceat(np.array([len(x) for x in parts]), start)
+    begin = np.cumsum(length) - length
+    w, place = windows(b"".join(parts), begin)
+    at, lengths = s.bits(w)
+    bits = np.empty((len(start), len(LANGS)))
+    for g in range(len(LANGS)):
+        bits[:, g] = np.add.reduceat(np.where(place > 0, lengths[g][at], 0).astype(np.float64), begin)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    at = start - np.repeat(first, np.diff(np.concatenate([first, [len(doc)]])))[start]
-    return doc[start], at, size, np.add.reduceat(s.counts[code].astype(np.int64), start), np.add.reduceat(s.bits[code].astype(np.float64), start)
+    piece = start - np.repeat(first, np.diff(np.concatenate([first, [len(doc)]])))[start]
+    return doc[start], piece, size, np.add.reduceat(np.array(s.counts)[code].astype(np.int64), start), bits
 
 
 def _judged(bits: np.ndarray, words: np.ndarray):
@@ -146,7 +202,9 @@ def _contained(batches: Iterator[pa.RecordBatch], samples: tuple) -> Iterator[pa
         best, lead, conf = _judged(bits, words)
         whole = np.zeros((len(b), len(LANGS)))
         np.add.at(whole, doc, bits)
-        ok = (words >= LEAST_WORDS) & ((lead >= LEAD) | (lead > 0) & (best == whole.argmin(1)[doc]))
+        main = whole.argmin(1)[doc]
+        over = bits[np.arange(len(doc)), main] - bits[np.arange(len(doc)), best]
+        ok = (words >= LEAST_WORDS) & ((lead >= LEAD) & (over >= OVER_MAIN) | (lead > 0) & (best == main))
         pair, n = np.unique(doc[ok] * len(LANGS) + best[ok], return_counts=True)
         most = np.zeros(len(b) * len(LANGS))
         np.maximum.at(most, doc[ok] * len(LANGS) + best[ok], conf[ok])
@@ -162,14 +220,12 @@ def _segments(batches: Iterator[pa.RecordBatch], samples: tuple) -> Iterator[pa.
         best, lead, _ = _judged(bits, words)
         # a sentence too short or too even to tell goes with the one before it, or else the one after it
         sure = (words >= 3) & (lead >= LEAD)
-        place = np.where(sure, np.arange(len(doc)), -1)
         first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-        for k in range(len(doc)):
-            if place[k] < 0 and not first[k]:
-                place[k] = place[k - 1]
-        for k in range(len(doc) - 2, -1, -1):
-            if place[k] < 0 and doc[k + 1] == doc[k]:
-                place[k] = place[k + 1]
+        number = np.arange(len(doc))
+        before = np.maximum.accumulate(np.where(sure, number, -1)) if len(doc) else number
+        after = np.minimum.accumulate(np.where(sure, number, len(doc))[::-1])[::-1] if len(doc) else number
+        of = lambda k: (k >= 0) & (k < len(doc)) & (doc[np.clip(k, 0, max(len(doc) - 1, 0))] == doc)
+        place = np.where(of(before), before, np.where(of(after), after, -1))
         lang = np.where(place >= 0, best[np.maximum(place, 0)], best)
         new = first | np.concatenate([[True], lang[1:] != lang[:-1]])[: len(lang)] if len(doc) else first
         start = np.flatnonzero(new)

@@ -97,14 +97,42 @@ def test_languages(spark, samples, odd, none):
     assert langid.segments(odd, s).where("doc_id = 5").agg(F.sum("pieces")).first()[0] == 150_000
 
 
-def test_code_lengths_are_probabilities():
-    trees = langid.train([("en", "the then them")])
-    s = langid.Scorer(trees)
-    g = langid.LANGS.index("en")
-    for context in (b"", b" ", b" th", b"zz"):
-        seen = sum(2.0 ** -s.step(context, b)[g] for b in range(256))
-        assert seen <= 1 + 1e-6 + 256 * 2.0**-8  # the last order gives every byte 1/256 without exclusion
-    assert s.step(b" t", ord("h"))[g] < s.step(b" t", ord("q"))[g]
+def ppm(text: str, context: bytes, byte: int) -> float:
+    """Bits of a byte by the definition: escapes by the number of distinct bytes, bytes of longer contexts excluded."""
+    data, bits, out = b" " + b"".join(map(langid.piece_bytes, text.split())), 0.0, set()
+    for n in range(min(langid.ORDER, len(context)), -1, -1):
+        c = context[len(context) - n :]
+        seen = Counter(data[i] for i in range(1, len(data)) if i >= n and data[i - n : i] == c)
+        kept = {x: k for x, k in seen.items() if x not in out}
+        total = sum(kept.values()) + len(kept)
+        if byte in kept:
+            return bits + np.log2(total / kept[byte])
+        if kept:
+            bits += np.log2(total / len(kept))
+        out |= set(kept)
+    return bits + np.log2(256 - len(out))
+
+
+def lengths(tree, context: bytes) -> np.ndarray:
+    c = int.from_bytes(context[-langid.ORDER :], "big")
+    return tree.bits(np.array([c << 8 | b for b in range(256)], np.uint64))
+
+
+@pytest.mark.parametrize("text", ["the then them", "కల మల కల ఇది", "a", "ab abab b"])
+def test_code_lengths_are_probabilities(text):
+    tree = langid.train([("en", text)])[langid.LANGS.index("en")]
+    for context in (b" ", b" th", b"zz", b" then th", b"n t", "కల మ".encode(), b"ab a", b" the t"):
+        got = lengths(tree, context)
+        assert (2.0**-got).sum() == pytest.approx(1, abs=1e-9)
+        assert all(got[b] == pytest.approx(ppm(text, context[-langid.ORDER :], b)) for b in (0x20, ord("t"), ord("e"), 0xE0, 0xB0, 1))
+
+
+def test_lengths_of_a_sentence_add_up_across_blanks():
+    s = langid.Scorer(langid.train([("en", "the then them there")]))
+    *_, words, bits = langid.sentences(["The, then 12 qua. them"], s)
+    data = b" the then qua "
+    want = sum(ppm("the then them there", data[max(0, i - langid.ORDER) : i], data[i]) for i in range(1, len(data)))
+    assert bits[0, langid.LANGS.index("en")] == pytest.approx(want, rel=1e-5) and words.tolist() == [4, 1]
 
 
 # 3
