@@ -116,7 +116,8 @@ class Scorer:
 
     def __init__(self, trees: tuple[Tree, ...]):
         self.trees = trees
-        self.windows, self.lengths = np.zeros(0, _U), np.zeros((len(LANGS), 0), np.float32)
+        self.nothing = np.zeros(0, _U), np.zeros((len(LANGS), 0), np.float32)
+        self.known = [self.nothing, self.nothing]  # sorted: most of them, and those met lately
         self.reset()
 
     def reset(self) -> None:
@@ -135,19 +136,31 @@ class Scorer:
         return r
 
     def bits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of bytes in context in the lengths (a row for each language), and the lengths."""
+        """Places of bytes in context in the lengths, and the lengths of the distinct ones, a row for each language."""
         distinct, of = np.unique(w, return_inverse=True)
-        if len(self.windows) > MOST_WINDOWS:
-            self.windows, self.lengths = self.windows[:0], self.lengths[:, :0]
-        at = np.searchsorted(self.windows, distinct)
-        new = distinct[self.windows[np.minimum(at, len(self.windows) - 1)] != distinct] if len(self.windows) else distinct
-        if len(new):
-            keys = np.concatenate([self.windows, new])
-            order = np.argsort(keys, kind="stable")
-            self.lengths = np.concatenate([self.lengths, np.array([t.bits(new) for t in self.trees], np.float32)], 1)[:, order]
-            self.windows = keys[order]
-            at = np.searchsorted(self.windows, distinct)
-        return at[of], self.lengths
+        out = np.empty((len(LANGS), len(distinct)), np.float32)
+        left = np.ones(len(distinct), bool)
+        for keys, lengths in self.known:
+            if len(keys):
+                rows = np.flatnonzero(left)
+                at = np.minimum(np.searchsorted(keys, distinct[rows]), len(keys) - 1)
+                hit = keys[at] == distinct[rows]
+                out[:, rows[hit]] = lengths[:, at[hit]]
+                left[rows[hit]] = False
+        if left.any():
+            new = distinct[left]
+            out[:, left] = np.array([t.bits(new) for t in self.trees], np.float32)
+            self.known[1] = _merged(self.known[1], (new, out[:, left]))
+            if len(self.known[1][0]) > max(50_000, len(self.known[0][0]) // 4):  # rarely: sorting all takes longer
+                old = self.known[0] if len(self.known[0][0]) <= MOST_WINDOWS else self.nothing
+                self.known = [_merged(old, self.known[1]), self.nothing]
+        return of, out
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a[1], b[1]], 1)[:, order]
 
 
 @lru_cache(2)
