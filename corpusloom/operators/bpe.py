@@ -7,16 +7,30 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.batches import slices
 from ..plans.tables import cut
+from . import counts
 
-#: Distinct words that the loop takes; beyond, raise the least frequency.
+#: Distinct words that the loop takes; beyond, the pairs are counted in rounds.
 MOST_WORDS = 5_000_000
 
 
+def merged_pair(symbols: list[str], left: str, right: str) -> list[str]:
+    """The symbols with a pair merged from left to right, without overlap."""
+    out, i = [], 0
+    while i < len(symbols):
+        hit = i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right
+        out.append(left + right if hit else symbols[i])
+        i += 1 + hit
+    return out
+
+
 def merges_of(words: dict[str, int], merges: int, lazy: bool = False) -> tuple[list[tuple[str, str]], Counter]:
     """The merges in order, and how often each remaining symbol occurs.
 
@@ -50,11 +64,7 @@ def merges_of(words: dict[str, int], merges: int, lazy: bool = False) -> tuple[l
                 count[p] -= f
                 if p in where:
                     where[p].discard(k)
-            out, i = [], 0
-            while i < len(s):
-                hit = i + 1 < len(s) and (s[i], s[i + 1]) == pair
-                out.append(pair[0] + pair[1] if hit else s[i])
-                i += 1 + hit
+            out = merged_pair(s, *pair)
             rows[k] = (out, f)
             for p in zip(out, out[1:]):
                 count[p] += f
@@ -76,7 +86,7 @@ def train(words: DataFrame, merges: int = 8000, min_freq: int = 5, lazy: bool =
     spark = words.sparkSession
     kept = cut(words.where((F.col("n") >= min_freq) & (F.col("word") != "")).select("word", "n"))
     if (n := kept.count()) > MOST_WORDS:
-        raise ValueError(f"{n} words; raise min_freq so that at most {MOST_WORDS} are left")
+        raise ValueError(f"{n} words; raise min_freq so that at most {MOST_WORDS} are left, or use learned_in_rounds")
     done, left = merges_of({r[0]: r[1] for r in kept.collect()}, merges, lazy)
     return (
         spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(done)], "rank int, left string, right string"),
@@ -88,10 +98,35 @@ def encode_in_order(word: str, merges: list[tuple[str, str]]) -> list[str]:
     """Symbols of a word after each merge has been applied once, in order."""
     s = list(word)
     for a, b in merges:
-        out, i = [], 0
-        while i < len(s):
-            hit = i + 1 < len(s) and s[i] == a and s[i + 1] == b
-            out.append(a + b if hit else s[i])
-            i += 1 + hit
-        s = out
+        s = merged_pair(s, a, b)
     return s
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], merges: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "word"):
+        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("freq"), pa.array([encode_in_order(w, merges) for w in b.column("word").to_pylist()], pa.list_(pa.string()))], ["word", "freq", "symbols"])
+
+
+def applied_in_order(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """(word, freq, symbols) of distinct words (word, freq) after each merge has been applied once, in order."""
+    sent = words.sparkSession.sparkContext.broadcast(merges)  # as many as were asked for in training
+    return words.where("word IS NOT NULL").select("word", "freq").mapInArrow(lambda it: _in_order(it, sent.value), "word string, freq bigint, symbols array<string>")
+
+
+def learned_in_rounds(words: DataFrame, merges: int = 8000, min_freq: int = 5, every: int = 8) -> DataFrame:
+    """(rank, left, right) like train, for more words than the driver can hold: each round counts the pairs and merges the best one in all words.
+
+    Only the best pair of a round comes to the driver; lineage is cut every few rounds.
+    """
+    spark = words.sparkSession
+    rows = cut(words.where((F.col("n") >= min_freq) & (F.col("word") != "")).select("word", counts.symbols(F.col("word")).alias("symbols"), F.col("n").alias("freq")))
+    done: list[tuple[int, str, str]] = []
+    while len(done) < merges:
+        best = counts.pair_counts(rows).where("n >= 2").orderBy(F.desc("n"), "l", "r").first()
+        if best is None:
+            break
+        done.append((len(done), best["l"], best["r"]))
+        rows = counts.merge_pair(rows, best["l"], best["r"])
+        if len(done) % every == 0:
+            rows = cut(rows)
+    return spark.createDataFrame(done, "rank int, left string, right string")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..plans.tables import small
+from ..plans.batches import slices
 
 
 class Encoder:
@@ -107,31 +107,38 @@ class Encoder:
         return [i for r in [*(r if r.endswith(self.sep) else r + self.sep for r in parts[:-1]), parts[-1]] for i in self.token(r)]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], e: Encoder, most: int = 300_000) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], e: Encoder, bos: int | None, eos: int | None, pieces: bool, most: int = 300_000) -> Iterator[pa.RecordBatch]:
     memory: dict[str, list[int]] = {}
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
-            rows = []
-            for text in part.column("text").to_pylist():
-                ids: list[int] = []
-                for w in text.split() if text else ():
-                    if (x := memory.get(w)) is None:
-                        if len(memory) >= most:
-                            memory.clear()
-                        x = memory[w] = e.token(w)
-                    ids += x
-                rows.append(ids)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.list_(pa.int32()))], ["id", "ids"])
-
-
-def encoded(docs: DataFrame, encoder: Encoder, id: str = "doc_id") -> DataFrame:
+    rule = e.piece if pieces else e.token
+    for part in slices(batches):
+        rows = []
+        for text in part.column("text").to_pylist():
+            ids: list[int] = []
+            for w in text.split() if text else ():
+                if (x := memory.get(w)) is None:
+                    if len(memory) >= most:
+                        memory.clear()
+                    x = memory[w] = rule(w)
+                ids += x
+            rows.append([bos] * (bos is not None) + ids + [eos] * (eos is not None) if ids else ids)
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.list_(pa.int32()))], ["id", "ids"])
+
+
+def encoded(docs: DataFrame, encoder: Encoder, id: str = "doc_id", bos: int | None = None, eos: int | None = None, pieces: bool = False) -> DataFrame:
     """(id, ids): each document's tokens, looked up or taken apart; no shuffle. Null and blank texts give an empty array.
 
-    The vocabulary goes to the tasks once; each distinct token of a task is encoded once.
+    bos and eos are put around a document that has ids. pieces: the text is raw, and pieces that mix scripts are cut into runs first. The vocabulary, whose
+    size is checked, goes to the tasks once; each distinct token of a task is encoded once.
     """
+    checked(len(encoder.ids))
     sent = docs.sparkSession.sparkContext.broadcast(encoder)
-    return docs.select(F.col(id).alias("id"), "text").mapInArrow(lambda it: _encode(it, sent.value), "id bigint, ids array<int>").withColumnRenamed("id", id)
+    return docs.select(F.col(id).alias("id"), "text").mapInArrow(lambda it: _encode(it, sent.value, bos, eos, pieces), "id bigint, ids array<int>").withColumnRenamed("id", id)
+
+
+def checked(tokens: int) -> None:
+    """Refuses to send a vocabulary of more than MOST_TOKENS tokens to all tasks."""
+    if tokens > MOST_TOKENS:
+        raise ValueError(f"{tokens} tokens; at most {MOST_TOKENS} are sent to all tasks")
 
 
 def vocabulary(tokenizer: DataFrame) -> DataFrame:
@@ -145,27 +152,34 @@ def encoder_of(tokenizer: DataFrame, merges: bool = True, core: str = "ఀ-౿")
     return Encoder(dict(r["token_to_id"]), [(a, b) for a, b in r["bpe_merges"]] if merges else (), r["separator"], core, r["special_tokens"]["<unk>"])
 
 
+def _words(batches: Iterator[pa.RecordBatch], ids: dict[str, int], unk: int, bos: int) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        rows = [[bos, *(ids.get(w, unk) for w in t.split())] if t and not t.isspace() else None for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.int32()))], ["id", "ids"])
+
+
 def word_level(docs: DataFrame, vocab: DataFrame, unk: int = 1, bos: int = 2, id: str = "doc_id") -> DataFrame:
-    """(id, ids): exact lookup of pieces, unknown ones as unk, bos in front, no eos."""
-    tokens = docs.where("text IS NOT NULL").select(id, F.posexplode(t.pieces(F.col("text"))).alias("pos", "token"))
-    ids = tokens.join(small(vocab), "token", "left").select(id, "pos", F.coalesce("id", F.lit(unk)).alias("tid"))
-    return ids.groupBy(id).agg(F.concat(F.array(F.lit(bos)), F.transform(F.sort_array(F.collect_list(F.struct("pos", "tid"))), lambda x: x["tid"])).alias("ids"))
+    """(id, ids): exact lookup of pieces within the row, unknown ones as unk, bos in front, no eos. Documents without text, or a blank one, have no row."""
+    checked(vocab.count())
+    sent = docs.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in vocab.select("token", "id").collect()})
+    rows = docs.select(F.col(id).alias("id"), "text").mapInArrow(lambda it: _words(it, sent.value, unk, bos), "id bigint, ids array<int>")
+    return rows.where("ids IS NOT NULL").withColumnRenamed("id", id)
 
 
-def decoded(rows: DataFrame, vocab: DataFrame, id: str = "doc_id", skip=(0, 2, 3)) -> DataFrame:
-    """(id, text): the tokens of the ids joined, marks glued; pad, bos and eos left out, an id without a token as <unk>.
+def decoded(rows: DataFrame, vocab: DataFrame, id: str = "doc_id", skip=(0, 2, 3), strip_rest: bool = False) -> DataFrame:
+    """(id, text): the tokens of the ids joined, marks glued; pad, bos and eos left out, an id without a token as <unk>. strip_rest also
+    deletes marks that glue nothing.
 
     The vocabulary (token, id), whose size is checked, goes to the tasks as one array; rows aren't exploded or shuffled. A null array gives null.
     """
     size = vocab.agg(F.count("*"), F.max("id")).first()
-    if max(size[0], size[1] or 0) > MOST_TOKENS:
-        raise ValueError(f"more than {MOST_TOKENS} tokens or ids")
+    checked(max(size[0], size[1] or 0))
     by_id = ["<unk>"] * ((size[1] or 0) + 1)
     for r in vocab.select("id", "token").collect():
         by_id[r["id"]] = r["token"]
     array = rows.sparkSession.createDataFrame([(by_id,)], "_tokens array<string>")
     tokens = F.transform(F.filter("ids", lambda x: ~x.isin(*skip)), lambda x: F.coalesce(F.get(F.col("_tokens"), x), F.lit("<unk>")))
-    return rows.select(id, "ids").crossJoin(F.broadcast(array)).select(id, t.joined(tokens).alias("text"))  # one row
+    return rows.select(id, "ids").crossJoin(F.broadcast(array)).select(id, t.joined(tokens, strip_rest=strip_rest).alias("text"))  # one row
 
 
 #: Tokens of a vocabulary that is sent to all tasks.

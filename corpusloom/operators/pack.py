@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.tables import cut
 
 
-def offsets(lengths: DataFrame, key: str = "doc_id", n: str = "n") -> DataFrame:
+def by_ranges(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows dealt by ranges of a key and in its order; what is computed from each row afterwards stays in that order."""
+    return rows.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+
+
+def _running(batches: Iterator[pa.RecordBatch], n: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a range with the sum of n over those before."""
+    total = 0
+    for b in batches:
+        x = np.nan_to_num(b.column(n).to_numpy(zero_copy_only=False)).astype(np.int64)
+        sums = total + np.cumsum(x)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums - x)], [*b.schema.names, "_inside"])
+        total = int(sums[-1]) if len(x) else total
+
+
+def offsets(rows: DataFrame, key: str = "doc_id", n: str = "n", ranged: bool = False) -> DataFrame:
     """The rows with `start`, the sum of n over the rows before in the order of key (which is unique).
 
-    Rows are dealt by ranges of the key; a range adds up on its own, and only the ranges' sums are brought together.
+    Rows are dealt by ranges of the key, unless they already are; a range adds up in its order, and only the ranges' sums are brought together. The rows
+    travel once and are kept in the checkpoint folder.
     """
-    ranged = cut(lengths.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()))
-    sums = ranged.groupBy("_range").agg(F.sum(n).alias("_sum"))
-    bases = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_base"))
-    inside = F.sum(n).over(Window.partitionBy("_range").orderBy(key)) - F.col(n)
-    return ranged.withColumn("_inside", inside).join(F.broadcast(bases), "_range").withColumn("start", F.col("_base") + F.col("_inside")).drop("_range", "_base", "_inside")
+    dealt = rows if ranged else by_ranges(rows, key)
+    inside = dealt.mapInArrow(lambda it: _running(it, n), T.StructType([*rows.schema.fields, T.StructField("_inside", T.LongType())]))
+    kept = cut(inside.withColumn("_range", F.spark_partition_id()))
+    sums = kept.groupBy("_range").agg(F.sum(n).alias("_sum"))
+    bases = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_base"))  # a row for each range
+    return kept.join(F.broadcast(bases), "_range").withColumn("start", F.col("_base") + F.col("_inside")).drop("_range", "_base", "_inside")
 
 
 def with_eos(rows: DataFrame, eos: int = 3) -> DataFrame:
@@ -25,10 +47,9 @@ def with_eos(rows: DataFrame, eos: int = 3) -> DataFrame:
     return rows.where(F.size("ids") > 0).withColumn("ids", F.concat("ids", F.array(F.lit(eos))))
 
 
-def stream(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, ids) of documents with ids, in stream order."""
-    at = offsets(rows.select(key, F.size("ids").cast("bigint").alias("n")), key)
-    return rows.join(at.select(key, "start"), key).select(key, "start", "ids")
+def stream(rows: DataFrame, key: str = "doc_id", ranged: bool = False) -> DataFrame:
+    """(key, start, ids) of documents with ids. ranged: the rows come from by_ranges, so making them again for a sample of the key is saved."""
+    return offsets(rows.select(key, "ids", F.size("ids").cast("bigint").alias("n")), key, ranged=ranged).select(key, "start", "ids")
 
 
 def positions(streamed: DataFrame) -> DataFrame:
@@ -36,10 +57,15 @@ def positions(streamed: DataFrame) -> DataFrame:
     return streamed.select("start", F.posexplode("ids").alias("i", "token_id")).select((F.col("start") + F.col("i")).alias("pos"), "token_id")
 
 
-def blocks(streamed: DataFrame, size: int) -> DataFrame:
-    """(block_id, ids): the stream cut into blocks; the last one may be short. A document sends each block one slice."""
+def blocks(streamed: DataFrame, size: int, only: DataFrame | None = None) -> DataFrame:
+    """(block_id, ids): the stream cut into blocks; the last one may be short. A document sends each block one slice.
+
+    only: a small table of the block_ids that are wanted; what lies in no such block isn't sent.
+    """
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.size("ids") - 1) / size)
     parts = streamed.select("start", "ids", F.explode(F.sequence(first, last)).alias("block_id"))
+    if only is not None:
+        parts = parts.join(F.broadcast(only), "block_id", "left_semi")
     begin = F.greatest(F.col("block_id") * size - F.col("start"), F.lit(0))
     end = F.least((F.col("block_id") + 1) * size - F.col("start"), F.size("ids"))
     parts = parts.select("block_id", F.struct((F.col("start") + begin).alias("at"), F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids")).alias("part"))
@@ -55,23 +81,45 @@ def examples(streamed: DataFrame, size: int) -> DataFrame:
 
 def tail_split(streamed: DataFrame, share: float) -> DataFrame:
     """(key columns, split, n): ids of each document before and after the cut that leaves int(total * share) ids for validation."""
-    total = streamed.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("total"))
-    cut_at = F.col("total") - F.floor(F.col("total") * share)
-    s = streamed.crossJoin(F.broadcast(total))  # one row
+    s, cut_at = streamed.crossJoin(F.broadcast(_cut_at(streamed, share))), F.col("cut_at")  # one row
     train = F.least(F.greatest(cut_at - F.col("start"), F.lit(0)), F.size("ids").cast("bigint"))
     parts = F.explode(F.array(F.struct(F.lit("train").alias("split"), train.alias("n")), F.struct(F.lit("val").alias("split"), (F.size("ids") - train).alias("n"))))
     return s.select("doc_id", parts.alias("p")).select("doc_id", "p.split", "p.n").where("n > 0")
 
 
+def _cut_at(streamed: DataFrame, share: float) -> DataFrame:
+    """One row (total, cut_at): where the tail for validation begins."""
+    total = streamed.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("total"))
+    return total.select("total", (F.col("total") - F.floor(F.col("total") * share)).alias("cut_at"))
+
+
+def _windows(streamed: DataFrame, starts: DataFrame, size: int) -> DataFrame:
+    """(k, start, ids): size + 1 ids from each start, of a small table (k, start)."""
+    need = starts.select("k", "start", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + size) / size))).alias("block_id"))
+    got = blocks(streamed, size, need.select("block_id").distinct()).join(F.broadcast(need), "block_id")
+    got = got.groupBy("k", "start").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block_id", "ids"))), lambda b: b["ids"])).alias("ids"))
+    return got.select("k", "start", F.slice("ids", (F.col("start") % size + 1).cast("int"), size + 1).alias("ids"))
+
+
 def sampled_windows(streamed: DataFrame, size: int, k: int, seed: int = 0) -> DataFrame:
     """(k, start, x, y): k windows at hashed starts, with replacement. A window takes its ids from the two or three blocks that it touches."""
     total = streamed.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("total"))
     starts = streamed.sparkSession.range(k).withColumnRenamed("id", "k").crossJoin(F.broadcast(total)).where(F.col("total") > size + 1)  # one row
-    starts = starts.select("k", F.pmod(F.xxhash64(F.lit(seed), "k"), F.col("total") - size - 1).alias("start"))
-    need = starts.select("k", "start", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + size) / size))).alias("block_id"))
-    got = need.join(blocks(streamed, size), "block_id").groupBy("k", "start").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block_id", "ids"))), lambda b: b["ids"])).alias("ids"))
-    at = (F.col("start") % size + 1).cast("int")
-    return got.select("k", "start", F.slice("ids", at, size).alias("x"), F.slice("ids", at + 1, size).alias("y"))
+    starts = cut(starts.select("k", F.pmod((F.col("k") + 1) * HASH + seed, F.col("total") - size - 1).alias("start")))
+    return _windows(streamed, starts, size).select("k", "start", F.slice("ids", 1, size).alias("x"), F.slice("ids", 2, size).alias("y"))
+
+
+def sampled_prompts(streamed: DataFrame, share: float, size: int, k: int, seed: int = 0) -> DataFrame:
+    """(k, start, ids): k prompts of size ids at hashed starts in the tail that is held out for validation; none if it is shorter than a prompt."""
+    at = _cut_at(streamed, share)
+    room = F.col("total") - F.col("cut_at") - size
+    starts = streamed.sparkSession.range(k).withColumnRenamed("id", "k").crossJoin(F.broadcast(at)).where(room > 0)  # one row
+    starts = cut(starts.select("k", (F.col("cut_at") + F.pmod((F.col("k") + 1) * HASH + seed, room)).alias("start")))
+    return _windows(streamed, starts, size).select("k", "start", F.slice("ids", 1, size).alias("ids"))
+
+
+#: Fixed value: Knuth's multiplier for hashing.
+HASH = 2654435761
 
 
 def last_ids(rows: DataFrame, n: int) -> DataFrame:

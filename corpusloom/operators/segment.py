@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.batches import slices
 from ..plans.tables import cut
 
 #: Entries of a lexicon that is sent to the tasks; a larger one is joined to the words' substrings, with the same splits.
@@ -79,11 +81,15 @@ class Segmenter:
     def _cost(self, lexicon: DataFrame) -> dict[str, float]:
         return {r["morph"]: math.log2(self.total / r["n"]) for r in lexicon.collect()}
 
+    def sent(self) -> tuple:
+        """What a task needs of a lexicon of at most MOST_MORPHS morphs."""
+        return self._cost(self.lexicon), self.unseen, self.longest, self.guard
+
     def split(self, words: DataFrame) -> DataFrame:
         """(word, n, parts) of distinct words (word, n); words longer than the guard stay whole."""
         sc, words, out = words.sparkSession.sparkContext, words.select("word", "n"), "word string, n bigint, parts array<string>"
         if self.size <= MOST_MORPHS:
-            sent = sc.broadcast((self._cost(self.lexicon), self.unseen, self.longest, self.guard))
+            sent = sc.broadcast(self.sent())
             return words.mapInArrow(lambda it: _split(it, sent.value), out)
         # letters occur in most words: they are sent, which also keeps hot keys out of the join
         sent = sc.broadcast((self._cost(self.lexicon.where(F.length("morph") == 1)), self.total, self.unseen, self.longest, self.guard))
@@ -113,16 +119,58 @@ def train(words: DataFrame, rounds: int = 4, dampening: str = "log", threshold:
 def segment_documents(docs: DataFrame, split: DataFrame, profile=t.TELUGU, sep: str = t.SEP, id: str = "doc_id") -> DataFrame:
     """(id, tokens): each document in segments. split: (word, parts) of distinct core words, joined to the documents' distinct words; others stay whole.
 
-    Documents without text, or with a blank one, have no row.
+    Documents without text, or with a blank one, have no row. Hot words are salted: a document's words are dealt to SALTS parts.
     """
-    words = docs.select(id, F.explode(F.array_distinct(t.core_words(F.col("text"), profile))).alias("word"))
-    several = split.where(F.size("parts") > 1).select("word", "parts")
-    own = words.join(several, "word").groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("word", "parts"))).alias("_parts"))
+    salt = F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int").alias("_salt")
+    words = docs.select(id, salt, F.explode(F.array_distinct(t.core_words(F.col("text"), profile))).alias("word"))
+    several = split.where(F.size("parts") > 1).select("word", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    own = words.join(several, ["word", "_salt"]).groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("word", "parts"))).alias("_parts"))
     both = docs.where("text IS NOT NULL").select(id, "text").join(own, id, "left").withColumn("_parts", F.coalesce("_parts", F.expr("cast(map() as map<string, array<string>>)")))
     tokens = t.segmented(F.col("text"), lambda w: F.coalesce(F.element_at("_parts", w), F.array(w)), profile, sep)
     return both.select(id, tokens.alias("tokens")).where(F.size("tokens") > 0)
 
 
+#: Parts that a hot word's documents are dealt to.
+SALTS = 16
+
+
+def _segment(batches: Iterator[pa.RecordBatch], model: tuple, chars: str, sep: str, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    cost, unseen, longest, guard = model
+    runs, core, memory = re.compile(f"[{chars}]+|[^{chars}]+"), re.compile(f"[{chars}]"), {}
+
+    def tokens(piece: str) -> list[str]:
+        parts = []
+        for r in runs.findall(piece):
+            parts += best_split(r, cost, unseen, longest) if core.match(r) and not (guard and len(r) > guard) else [r]
+        return [*(x if x.endswith(sep) else x + sep for x in parts[:-1]), parts[-1]] if core.search(piece) else [piece]
+
+    for b in slices(batches):
+        rows = []
+        for text in b.column("text").to_pylist():
+            row: list[str] = []
+            for p in text.split() if text else ():
+                if (x := memory.get(p)) is None:
+                    if len(memory) >= most:
+                        memory.clear()
+                    x = memory[p] = tokens(p)
+                row += x
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.string()))], ["id", "tokens"])
+
+
+def segment_texts(docs: DataFrame, model: Segmenter, profile=t.TELUGU, sep: str = t.SEP, id: str = "doc_id") -> DataFrame:
+    """(id, tokens): each document in the model's segments, within the row: each distinct piece of a task is taken apart once.
+
+    Documents without text, or with a blank one, have no row. A lexicon too large for the tasks splits the distinct words, which are joined back.
+    """
+    if model.size > MOST_MORPHS:
+        words = docs.select(F.explode(t.core_words(F.col("text"), profile)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        return segment_documents(docs, model.split(words), profile, sep, id)
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
+    rows = docs.select(F.col(id).alias("id"), "text").mapInArrow(lambda it: _segment(it, sent.value, profile.chars, sep), "id bigint, tokens array<string>")
+    return rows.where(F.size("tokens") > 0).withColumnRenamed("id", id)
+
+
 def morpheme_counts(split: DataFrame) -> DataFrame:
     """(morpheme, frequency): over word types, the words' counts of each part."""
     return split.select(F.explode("parts").alias("morpheme"), "n").groupBy("morpheme").agg(F.sum("n").alias("frequency"))

@@ -94,13 +94,18 @@ def _split_words(s: SparkSession, d: str) -> DataFrame:
     return _words(s, d).withColumn("parts", _split(F.col("word")))
 
 
-def _encoded(s: SparkSession, d: str) -> DataFrame:
+def _encode(s: SparkSession, d: str, docs: DataFrame) -> DataFrame:
     """Lookup, then characters; no merges."""
-    return encode.encoded(_docs(s, d), encode.encoder_of(table(s, d, "tokenizer"), merges=False)).where(F.size("ids") > 0)
+    return encode.encoded(docs, encode.encoder_of(table(s, d, "tokenizer"), merges=False)).where(F.size("ids") > 0)
+
+
+def _encoded(s: SparkSession, d: str) -> DataFrame:
+    return _encode(s, d, _docs(s, d))
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    return pack.stream(pack.with_eos(_encoded(s, d)))
+    """Encoded once, in the order of the ids."""
+    return pack.stream(pack.with_eos(_encode(s, d, pack.by_ranges(_docs(s, d).select("doc_id", "text")))), ranged=True)
 
 
 def _shown(ids) -> object:
@@ -266,9 +271,7 @@ def segmenter_train(s, d):
 @query()
 def segment_documents(s, d):
     """The documents in the learned segments."""
-    words = cut(_words(s, d))
-    split = segment.train(words).split(words)
-    return segment.segment_documents(_docs(s, d), split).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    return segment.segment_texts(_docs(s, d), segment.train(cut(_words(s, d)))).select("doc_id", F.array_join("tokens", " ").alias("text"))
 
 
 # vocabulary
@@ -420,8 +423,8 @@ def bpe_subwords(s, d):
 
 @query(f"WITH {_STREAM} SELECT doc_id, CAST(len(ids) AS BIGINT) AS n, start, start // {BLOCK} AS first_block FROM st")
 def pack_offsets(s, d):
-    n = pack.with_eos(_encoded(s, d)).select("doc_id", F.size("ids").cast("bigint").alias("n"))
-    return pack.offsets(n).select("doc_id", "n", "start", F.floor(F.col("start") / BLOCK).alias("first_block"))
+    n = pack.with_eos(_encode(s, d, pack.by_ranges(_docs(s, d).select("doc_id", "text")))).select("doc_id", F.size("ids").cast("bigint").alias("n"))
+    return pack.offsets(n, ranged=True).select("doc_id", "n", "start", F.floor(F.col("start") / BLOCK).alias("first_block"))
 
 
 @query(f"WITH {_POS} SELECT pos // {BLOCK} AS block_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM ps GROUP BY 1")
