@@ -55,9 +55,10 @@ def token_class(piece: Column, profile: ScriptProfile = TELUGU) -> Column:
     return F.when(piece.rlike(f"^[{profile.chars}]+$"), "pure").when(has_core(piece, profile), "mixed").otherwise("other")
 
 
-def marked(parts: Column, sep: str = SEP) -> Column:
-    """All parts but the last with the continuation mark, unless they end in it."""
-    head = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.when(F.endswith(x, F.lit(sep)), x).otherwise(F.concat(x, F.lit(sep))))
+def marked(parts: Column, sep: str = SEP, always: bool = False) -> Column:
+    """All parts but the last with the continuation mark, unless they end in it; always: also if they do."""
+    add = lambda x: F.concat(x, F.lit(sep))
+    head = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), add if always else lambda x: F.when(F.endswith(x, F.lit(sep)), x).otherwise(add(x)))
     return F.concat(head, F.slice(parts, -1, 1))
 
 
@@ -81,17 +82,17 @@ def split_after(word: Column, least: int, head: int) -> Column:
     return F.when(F.length(word) >= least, F.array(F.substring(word, 1, head), F.substring(word, F.lit(head + 1), F.length(word)))).otherwise(F.array(word))
 
 
-def segmented(text: Column, segment, profile: ScriptProfile = TELUGU, sep: str = SEP, split_mixed: bool = True) -> Column:
+def segmented(text: Column, segment, profile: ScriptProfile = TELUGU, sep: str = SEP, split_mixed: bool = True, always: bool = False) -> Column:
     """Tokens of a text: core words in segments, mixed pieces cut into runs, continuation marks on all but each piece's last part.
 
-    segment maps a column of a core word to an array of its parts. Without split_mixed only pure pieces are segmented.
+    segment maps a column of a core word to an array of its parts. Without split_mixed only pure pieces are segmented. always: see marked.
     """
 
     def one(p: Column) -> Column:
         if not split_mixed:
-            return F.when(p.rlike(f"^[{profile.chars}]+$"), let(segment(p), lambda x: marked(x, sep))).otherwise(F.array(p))
+            return F.when(p.rlike(f"^[{profile.chars}]+$"), let(segment(p), lambda x: marked(x, sep, always))).otherwise(F.array(p))
         parts = F.flatten(F.transform(runs(p, profile), lambda r: F.when(has_core(r, profile), segment(r)).otherwise(F.array(r))))
-        return F.when(has_core(p, profile), let(parts, lambda x: marked(x, sep))).otherwise(F.array(p))
+        return F.when(has_core(p, profile), let(parts, lambda x: marked(x, sep, always))).otherwise(F.array(p))
 
     return F.flatten(F.transform(pieces(text), one))
 

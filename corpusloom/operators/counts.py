@@ -65,6 +65,12 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pairs.select(F.col("symbols")[F.col("i") - 1].alias("l"), F.col("symbols")[F.col("i")].alias("r"), "freq").groupBy("l", "r").agg(F.sum("freq").alias("n"))
 
 
+def pair_index(words: DataFrame) -> DataFrame:
+    """(l, r, words): the distinct words (word, symbols) that hold each adjacent pair, in order. As long as the table of words together with its symbols."""
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("symbols") - 1), lambda i: F.struct(F.element_at("symbols", i).alias("l"), F.element_at("symbols", i + 1).alias("r"))))
+    return words.where(F.size("symbols") > 1).select("word", F.explode(pairs).alias("p")).groupBy("p.l", "p.r").agg(F.sort_array(F.collect_set("word")).alias("words"))
+
+
 def symbols(word) -> object:
     """Column: the characters of a word."""
     return F.filter(F.split(word, ""), lambda c: c != "")

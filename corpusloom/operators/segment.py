@@ -186,3 +186,13 @@ def statistics(split: DataFrame) -> DataFrame:
         F.round(ratio(F.col("whole") * 100.0, F.col("word_types")), 1).alias("unsegmented_pct"), F.round(ratio(F.col("morphemes"), F.col("words")), 2).alias("avg_morphemes_per_word_token"),
         F.round("length", 1).alias("avg_morpheme_length_chars"), F.col("words").alias("total_word_tokens"), F.col("morphemes").alias("total_morpheme_tokens"),
     )
+
+
+#: Words that a report shows whatever their frequency.
+SHOWN = ("గ్రామం", "విద్యార్థి", "పుస్తకం", "ఉద్యోగం", "నగరం", "విజ్ఞానం", "ప్రభుత్వం", "కుటుంబం")
+
+
+def report(split: DataFrame, top: int = 30, shown=SHOWN) -> DataFrame:
+    """(part, word, parts, n): the most frequent words of (word, n, parts), ties by code points, and those of a list that occur."""
+    listed = split.where(F.col("word").isin(*shown)).select(F.lit("listed").alias("part"), "word", "parts", "n")
+    return split.orderBy(F.desc("n"), "word").limit(top).select(F.lit("frequent").alias("part"), "word", "parts", "n").unionByName(listed)

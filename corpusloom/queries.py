@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as t
+from .functions import tolerant
 from .operators import bpe, counts, encode, ngrams, pack, quality, segment, vocab
+from .plans.metrics import Stage
 from .plans.tables import cut, table
 from .sources import readers, sinks
 from .streaming.counts import stream_core_word_counts
@@ -262,6 +264,22 @@ def top_bottom_morphemes(s, d):
     return side("top", False).unionByName(side("bottom", True))
 
 
+@query(f"""WITH {_WORDS}, {_SPLIT_WORDS}, t AS (SELECT word, parts, n, row_number() OVER (ORDER BY n DESC, word) AS r FROM sw)
+SELECT 'frequent' AS part, word, array_to_string(parts, '@@ ') AS parts, n FROM t WHERE r <= 30 UNION ALL SELECT 'listed', word, array_to_string(parts, '@@ '), n FROM t WHERE word IN ({", ".join(f"'{w}'" for w in segment.SHOWN)})""")
+def segmentation_sample(s, d):
+    """A report of the segmenter: the 30 most frequent words and listed ones, with their parts."""
+    rows = segment.report(_split_words(s, d))
+    return rows.select("part", "word", F.array_join(t.marked(F.col("parts")), " ").alias("parts"), "n")
+
+
+@query(f"""WITH {_TOK}, o AS (SELECT doc_id, pos, flatten(list_transform(regexp_extract_all(p, '[{_C}]+|[^{_C}]+'), lambda r: CASE WHEN regexp_matches(r, '[{_C}]') AND length(r) >= {LEAST} THEN [substring(r, 1, {HEAD}), substring(r, {HEAD + 1})] ELSE [r] END)) AS parts, p FROM tok)
+SELECT doc_id, string_agg(CASE WHEN regexp_matches(p, '[{_C}]') THEN array_to_string(parts, '@@ ') ELSE p END, ' ' ORDER BY pos) AS text FROM o GROUP BY doc_id""")
+def segment_online_toy(s, d):
+    """Segmentation of a prompt: marks are set whatever a part ends in."""
+    rows = _docs(s, d).where("text IS NOT NULL").select("doc_id", t.segmented(F.col("text"), _split, always=True).alias("tokens"))
+    return rows.where(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", " ").alias("text"))
+
+
 @query()
 def segmenter_train(s, d):
     """The lexicon learned from the word counts."""
@@ -341,6 +359,19 @@ def decode_documents(s, d):
     return encode.decoded(_encoded(s, d), encode.vocabulary(table(s, d, "tokenizer")))
 
 
+@query(f"WITH {_DECODED} SELECT doc_id, replace(text, '@@', '') AS text FROM dec")
+def decode_export(s, d):
+    """The decoding of exported models: marks that glue nothing go, too."""
+    return encode.decoded(_encoded(s, d), encode.vocabulary(table(s, d, "tokenizer")), strip_rest=True)
+
+
+@query(f"WITH {_ENC} SELECT doc_id, '2 ' || {_SHOW.format('ids')} || ' 3' AS ids FROM enc")
+def encode_bos_eos(s, d):
+    """Encoding with a mark at either end of a document."""
+    e = encode.encoder_of(table(s, d, "tokenizer"), merges=False)
+    return encode.encoded(_docs(s, d), e, bos=2, eos=3).where(F.size("ids") > 0).select("doc_id", _shown(F.col("ids")).alias("ids"))
+
+
 @query(f"""WITH {_DECODED}, raw AS (SELECT doc_id, string_agg(p, ' ' ORDER BY pos) AS text FROM tok GROUP BY doc_id)
 SELECT count(*) AS documents, count(*) FILTER (WHERE dec.text = raw.text) AS same FROM raw JOIN dec USING (doc_id)""")
 def roundtrip_rate(s, d):
@@ -365,6 +396,44 @@ def bpe_encode(s, d):
     return encode.encoded(_docs(s, d), encode.encoder_of(table(s, d, "tokenizer"))).where(F.size("ids") > 0).select("doc_id", _shown(F.col("ids")).alias("ids"))
 
 
+# the pipeline as a whole
+
+
+def _pipeline(s: SparkSession, d: str) -> DataFrame:
+    """Documents segmented, encoded by the vocabulary of their own segments: (doc_id, ids) in order of the ids, each with <eos>."""
+    seg = _segmented(s, d).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    ids = _vocab(s, d).select("token", "id")
+    encode.checked(ids.count())
+    e = encode.Encoder({r["token"]: r["id"] for r in ids.collect()})
+    return pack.with_eos(encode.encoded(pack.by_ranges(seg), e))
+
+
+@query("pipeline_encode")
+def pipeline_encode(s, d):
+    """Raw texts to ids: segments, vocabulary, encoding."""
+    return _pipeline(s, d).select("doc_id", _shown(F.col("ids")).alias("ids"))
+
+
+@query("pipeline_blocks")
+def pipeline_blocks(s, d):
+    """Raw texts to blocks."""
+    return pack.blocks(pack.stream(_pipeline(s, d), ranged=True), BLOCK).select("block_id", _shown(F.col("ids")).alias("ids"))
+
+
+@query()
+def pipeline_learned(s, d):
+    """The same with everything learned: segmenter, merges over the other segments, vocabulary with their symbols, encoding by the merges."""
+    docs = _docs(s, d)
+    seg = cut(segment.segment_texts(docs, segment.train(cut(counts.core_word_counts(docs)))))
+    tokens = cut(counts.token_counts(seg))
+    merges, symbols = bpe.train(counts.other_counts(tokens).withColumnRenamed("base", "word"))
+    ids = vocab.vocab_ids(counts.core_counts(tokens), symbols.select(F.col("subword").alias("token"), F.col("frequency").alias("n")))
+    ids = {r["token"]: r["id"] for r in ids.select("token", "id").collect()}  # its size is checked when it is sent
+    e = encode.Encoder(ids, [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()])
+    text = seg.select("doc_id", F.array_join("tokens", " ").alias("text"))
+    return encode.encoded(text, e, eos=3).select("doc_id", _shown(F.col("ids")).alias("ids"))
+
+
 # merges
 
 
@@ -404,6 +473,29 @@ def bpe_pair_words(s, d):
     return pairs.groupBy("p.l", "p.r").agg(F.count("*").alias("words"))
 
 
+@query(f"WITH {_SEG_COUNTS}, {_OTHER} SELECT l, r, count(*) AS n, string_agg(word, ' ' ORDER BY word) AS words FROM (SELECT DISTINCT word, string_split(word, '')[i] AS l, string_split(word, '')[i + 1] AS r FROM (SELECT word, unnest(range(1, length(word))) AS i FROM ow)) GROUP BY l, r")
+def bpe_pair_index(s, d):
+    """The words that hold each pair."""
+    return counts.pair_index(_other_words(s, d)).select("l", "r", F.size("words").cast("bigint").alias("n"), F.array_join("words", " ").alias("words"))
+
+
+#: Merges that are applied one after the other in the checked query.
+_ORDER = (("a", "n"), ("i", "n"), ("an", "a"), ("e", "r"), ("an", "i"))
+
+
+def _applied_sql(symbols: str) -> str:
+    for a, b in _ORDER:
+        symbols = f"replace({symbols}, chr(1) || '{a}' || chr(2) || chr(1) || '{b}' || chr(2), chr(1) || '{a}{b}' || chr(2))"
+    return symbols
+
+
+@query(f"""WITH {_SEG_COUNTS}, {_OTHER}, wr AS (SELECT word, freq, {_applied_sql("array_to_string(list_transform(string_split(word, ''), lambda c: chr(1) || c || chr(2)), '')")} AS s FROM ow WHERE word <> '')
+SELECT word, freq, trim(replace(replace(s, chr(1), ' '), chr(2), '')) AS symbols FROM wr""")
+def bpe_apply_order(s, d):
+    """Merges applied one after the other, each once."""
+    return bpe.applied_in_order(_other_words(s, d), list(_ORDER)).select("word", "freq", F.array_join("symbols", " ").alias("symbols"))
+
+
 @query()
 def bpe_train(s, d):
     """Merges learned from the other tokens."""
@@ -447,12 +539,24 @@ def shifted_examples(s, d):
     return pack.examples(_stream(s, d), BLOCK).select("block_id", _shown(F.col("x")).alias("x"), _shown(F.col("y")).alias("y"))
 
 
-@query()
+_TOTAL = f"{_POS}, tt AS (SELECT count(*) AS total FROM ps)"
+
+
+@query(f"""WITH {_TOTAL}, sw AS (SELECT k, CAST((k + 1) * 2654435761 % (total - {BLOCK} - 1) AS BIGINT) AS start FROM (SELECT unnest(range(0, 64)) AS k), tt)
+SELECT k, start, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE pos < start + {BLOCK}) AS x, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE pos > start) AS y
+FROM sw JOIN ps ON pos BETWEEN start AND start + {BLOCK} GROUP BY k, start""")
 def window_sample(s, d):
     """Windows at hashed places of the stream."""
     return pack.sampled_windows(_stream(s, d), BLOCK, 64).select("k", "start", _shown(F.col("x")).alias("x"), _shown(F.col("y")).alias("y"))
 
 
+@query(f"""WITH {_TOTAL}, cc AS (SELECT total, total - CAST(floor(total * {SHARE}) AS BIGINT) AS cut_at FROM tt), sw AS (SELECT k, CAST(cut_at + (k + 1) * 2654435761 % (total - cut_at - 32) AS BIGINT) AS start FROM (SELECT unnest(range(0, 3)) AS k), cc)
+SELECT k, start, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM sw JOIN ps ON pos BETWEEN start AND start + 31 GROUP BY k, start""")
+def prompt_sample(s, d):
+    """Three prompts of 32 ids from the tail for validation."""
+    return pack.sampled_prompts(_stream(s, d), SHARE, 32, 3).select("k", "start", _shown(F.col("ids")).alias("ids"))
+
+
 @query(f"WITH {_ENC} SELECT doc_id, array_to_string(ids[greatest(len(ids) - 31, 1):], ' ') AS ids FROM enc")
 def context_truncate(s, d):
     return pack.last_ids(_encoded(s, d), 32).select("doc_id", _shown(F.col("ids")).alias("ids"))
@@ -508,6 +612,31 @@ def ngram_skew(s, d):
     return ngrams.skew(ngrams.suffix_ngrams(_encoded(s, d)))
 
 
+def _slot_sql(n: int, w: tuple[int, ...]) -> str:
+    h = f"CAST(token_id AS BIGINT) * {w[0]}"
+    for c, k in list(zip(("back1", "back2"), w[1:]))[: n - 1]:
+        h = f"xor({h}, CAST({c} AS BIGINT) * {k})"
+    return f"CAST({h} % {SLOTS} AS BIGINT)"
+
+
+_HEADS = " UNION ALL ".join(f"SELECT doc_id, pos, {n} AS \"order\", {k} AS head, {_slot_sql(n, w)} AS slot FROM ng WHERE back{n - 1} IS NOT NULL" for n in (2, 3) for k, w in enumerate(ngrams.HEADS))
+
+
+@query(f"WITH {_NG}, hd AS ({_HEADS}) SELECT \"order\", head, count(*) AS n, count(DISTINCT slot) AS slots, CAST(sum(slot) AS BIGINT) AS slot_sum FROM hd GROUP BY 1, 2")
+def ngram_hash_heads(s, d):
+    """How the eight hash heads spread the n-grams of two and three ids: their number, the slots they take and the slots' sum."""
+    heads = ngrams.hash_heads(ngrams.suffix_ngrams(_encoded(s, d)), SLOTS)
+    per = heads.groupBy("order", "head", "slot").agg(F.count("*").alias("n"))
+    return per.groupBy("order", "head").agg(F.sum("n").alias("n"), F.count("*").alias("slots"), F.sum(F.col("slot") * F.col("n")).alias("slot_sum"))
+
+
+@query(f"""WITH {_NG}, c AS (SELECT back1, token_id, count(*) AS n FROM ng WHERE back1 IS NOT NULL GROUP BY ALL), k AS (SELECT n, count(*) AS bigrams, CAST(sum(n) AS BIGINT) AS occurrences FROM c GROUP BY n)
+SELECT n, bigrams, occurrences, round(sum(bigrams) OVER (ORDER BY n DESC) / sum(bigrams) OVER (), 6) AS share_of_bigrams, round(sum(occurrences) OVER (ORDER BY n DESC) / sum(occurrences) OVER (), 6) AS share_of_occurrences FROM k""")
+def ngram_cumulative(s, d):
+    """What the most frequent bigrams make up of all, for a cache."""
+    return ngrams.cumulative(ngrams.skew(ngrams.suffix_ngrams(_encoded(s, d))))
+
+
 @query(f"""WITH {_VOC}, k AS (SELECT id, trim(lower(replace(token, '@@', ''))) AS norm FROM voc), f AS (SELECT norm, min(id) AS first FROM k GROUP BY norm),
 r AS (SELECT norm, CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS canonical_id FROM f) SELECT id, canonical_id FROM k JOIN r USING (norm)""")
 def canonical_ids(s, d):
@@ -520,6 +649,18 @@ def canonical_ids_nfkc(s, d):
     return ngrams.canonical_ids(encode.vocabulary(table(s, d, "tokenizer")))
 
 
+_PIPE = _ENC.removeprefix(f"{_TOK}, {_VOC}").replace("FROM tok)", "FROM tk)").replace("FROM tok JOIN pe", "FROM tk JOIN pe")
+_PIPE = _PIPE.replace("mc AS (SELECT p, core, unnest(string_split(p, '')) AS c, generate_subscripts(string_split(p, ''), 1) AS i, len(string_split(p, '')) AS l FROM miss)", """mb AS (SELECT p, core, ends_with(p, '@@') AS cont, CASE WHEN ends_with(p, '@@') THEN substring(p, 1, length(p) - 2) ELSE p END AS q FROM miss),
+mc AS (SELECT p, core, cont, unnest(string_split(q, '')) AS c, generate_subscripts(string_split(q, ''), 1) AS i, len(string_split(q, '')) AS l FROM mb WHERE q <> '')""")
+# the last letter of a token that goes on takes its marked form, if there is one; others only if the bare form is in the vocabulary
+_PIPE = _PIPE.replace("CASE WHEN i = l THEN coalesce(b.id, 1) WHEN core", "CASE WHEN i = l AND cont AND core THEN coalesce(a.id, b.id, 1) WHEN i = l AND cont AND b.id IS NOT NULL THEN coalesce(a.id, b.id) WHEN i = l THEN coalesce(b.id, 1) WHEN core")
+_PIPE = f"{_SEG}, voc AS ({_vocab_sql(0)}), tk AS (SELECT doc_id, token AS p, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS pos FROM seg){_PIPE}"
+_PIPE_EOS = f"{_PIPE}, se AS (SELECT doc_id, list_append(ids, 3) AS ids FROM enc)"
+SQL["pipeline_encode"] = f"WITH {_PIPE_EOS} SELECT doc_id, {_SHOW.format('ids')} AS ids FROM se"
+SQL["pipeline_blocks"] = f"""WITH {_PIPE_EOS}, st AS (SELECT doc_id, ids, CAST(sum(len(ids)) OVER (ORDER BY doc_id) - len(ids) AS BIGINT) AS start FROM se), ps AS (SELECT start + unnest(range(0, len(ids))) AS pos, unnest(ids) AS id FROM st)
+SELECT pos // {BLOCK} AS block_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM ps GROUP BY 1"""
+
+
 # chat and quality
 
 
@@ -556,11 +697,44 @@ def stratified_mix(s, d):
     return quality.stratified(_docs(s, d), "domain", 20)
 
 
-@query("""WITH s AS (SELECT doc_id, CAST(doc_id * 7 % 101 AS DOUBLE) - CAST(doc_id % 97 AS DOUBLE) AS gap FROM documents) SELECT doc_id, gap FROM s, (SELECT quantile_cont(gap, 0.5) AS m FROM s) WHERE gap > m""")
+def _loss_sql(name: str, where: str) -> str:
+    return f"""{name}c AS (SELECT p, count(*) AS n FROM tok {where} GROUP BY p), {name}t AS (SELECT coalesce(sum(n), 0) AS al, count(*) AS ty FROM {name}c),
+{name} AS (SELECT doc_id, round(sum(m * log2((al + ty + 1) / (coalesce(n, 0) + 1))) / sum(m), 6) AS loss FROM ow LEFT JOIN {name}c USING (p), {name}t GROUP BY doc_id)"""
+
+
+@query(f"""WITH {_TOK}, ow AS (SELECT doc_id, p, count(*) AS m FROM tok GROUP BY doc_id, p), {_loss_sql('te', '')}, {_loss_sql('st', "WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'varadhi_web')")},
+g AS (SELECT doc_id, round(st.loss - te.loss, 6) AS gap FROM te JOIN st USING (doc_id)) SELECT doc_id, gap FROM g WHERE gap > (SELECT quantile_cont(gap, 0.8) FROM g)""")
 def hard_set(s, d):
-    """Examples that a student finds harder than its teacher, by made-up losses."""
-    scores = _docs(s, d).select("doc_id", (F.col("doc_id") % 97).cast("double").alias("teacher"), (F.col("doc_id") * 7 % 101).cast("double").alias("student"))
-    return quality.hard_set(scores)
+    """The fifth of the documents that a student, counts of one source only, finds harder than its teacher, counts of all, by the widest gap."""
+    docs = _docs(s, d)
+    teacher, student = counts.piece_counts(docs), counts.piece_counts(docs.where("source = 'varadhi_web'"))
+    return quality.hard_set(quality.unigram_loss(docs, teacher, "teacher"), quality.unigram_loss(docs, student, "student"))
+
+
+@query("""WITH q AS (SELECT source, floor(target_share * 400) AS k FROM sources WHERE target_share IS NOT NULL),
+r AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents JOIN q USING (source)) SELECT doc_id, source FROM r WHERE r <= k""")
+def source_quota_mix(s, d):
+    """A sample of 400 documents with each source's share as its quota."""
+    return quality.source_quotas(_docs(s, d), table(s, d, "sources"), 400)
+
+
+_TYPES = rf"""{_TURNS}, fu AS (SELECT conv_id, arg_min(text, (turn, text)) AS text FROM tn WHERE role = 'user' GROUP BY conv_id),
+ty AS (SELECT conv_id, CASE WHEN regexp_matches(rtrim(text, ' '), '\?["''”’)]*$') THEN 'question' WHEN regexp_matches(rtrim(text, ' '), '
+\s*([-*•]|\d+[.)])\s') THEN 'list' WHEN len({_PIECES}) <= 3 THEN 'short' ELSE 'statement' END AS type FROM fu)"""
+
+
+@query(f"WITH {_TYPES} SELECT conv_id, type FROM (SELECT conv_id, type, row_number() OVER (PARTITION BY type ORDER BY md5(CAST(conv_id AS VARCHAR)), conv_id) AS r FROM ty) WHERE r <= 20")
+def type_diversity(s, d):
+    """At most 20 conversations of each type of instruction."""
+    kinds = quality.instruction_types(table(s, d, "conversations")).withColumnRenamed("conv_id", "doc_id")
+    return quality.stratified(kinds, "type", 20).withColumnRenamed("doc_id", "conv_id")
+
+
+@query(f"""WITH {_TURNS}, tk AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN list_append({_PIECES}, '<eos>') ELSE {_PIECES} END AS w FROM tn)
+SELECT conv_id, turn, role, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, unnest(w) AS token, CAST(role = 'assistant' AS INTEGER) AS loss FROM tk""")
+def loss_mask_tokens(s, d):
+    """1 on the assistant's tokens and their <eos>, 0 elsewhere."""
+    return quality.loss_mask_tokens(table(s, d, "conversations"))
 
 
 # sources and streams
@@ -574,6 +748,33 @@ def size_estimate(s, d):
     return c.crossJoin(F.broadcast(total)).select("source", "data_dir", "approx_size_gb", F.round("t", 6).alias("total_gb"), F.round(F.col("t") * 1.5, 6).alias("wanted_gb"))  # one row
 
 
+@query("SELECT count(*) AS documents, count(*) FILTER (WHERE text IS NOT NULL) AS texts, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters FROM documents")
+def observed_counts(s, d):
+    """Counters of a stage, taken while its rows are written."""
+    stage = Stage("documents", _docs(s, d), documents=F.count(F.lit(1)), texts=F.count("text"), characters=F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint"))
+    got = stage.run(lambda rows: rows.select("doc_id", "text").write.format("noop").mode("overwrite").save())
+    return s.createDataFrame([(got["documents"], got["texts"], got["characters"])], "documents bigint, texts bigint, characters bigint")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 5000 THEN text ELSE upper(text) END AS text, CASE WHEN length(text) > 5000 THEN 'ValueError' END AS error FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]', '?', 'g') AS text FROM documents)")
+def tolerant_map(s, d):
+    """A function that fails on some texts: those stay as they were, beside the error's name."""
+    plain = _docs(s, d).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7f]", "?").alias("text"))
+    return tolerant.map_texts(plain, _upper)
+
+
+def _upper(text: str) -> str:
+    if len(text) > 5000:
+        raise ValueError(len(text))
+    return text.upper()
+
+
+@query()
+def files_largest_first(s, d):
+    """The files of the data folder, the largest first."""
+    return readers.largest_first(s, d).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "bytes", "rank")
+
+
 @query()
 def size_inventory(s, d):
     """Files and bytes of the data folder."""

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import warnings
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.encode import checked
 
 
 def write_text(docs: DataFrame, path: str) -> None:
@@ -43,30 +47,74 @@ def write_merges(merges: DataFrame, path: str) -> None:
 
 
 def tokenizer_json(vocab: DataFrame, merges: DataFrame, sep: str = t.SEP) -> str:
-    """The tokenizer's bundle as JSON; the vocabulary and its merges are bounded."""
+    """The tokenizer's bundle as JSON; the sizes of vocabulary and merges are checked."""
+    checked(max(vocab.count(), merges.count()))
     ids = {r[0]: r[1] for r in vocab.orderBy("id").select("token", "id").collect()}
     pairs = [[r[0], r[1]] for r in merges.orderBy("rank").select("left", "right").collect()]
     special = {k: v for k, v in ids.items() if v < 4}
     return json.dumps({"version": "2.0", "type": "morph_bpe_mixed", "vocab_size": len(ids), "separator": sep, "special_tokens": special, "token_to_id": ids, "bpe_merges": pairs}, ensure_ascii=False)
 
 
-def write_stream_binary(blocks: DataFrame, path: str) -> None:
-    """(block_id, ids) as files of little-endian 32-bit ids, one for each task, named by their first block, in a folder that all tasks see."""
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One file of UTF-8 text, in any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_tokenizer(vocab: DataFrame, merges: DataFrame, path: str, sep: str = t.SEP) -> None:
+    """tokenizer.json, vocab.txt (a token a line, in order of the ids) and token_frequencies.tsv (special and core tokens) in a folder.
+
+    vocab: (token, id, tier, frequency), of a checked size.
+    """
+    spark = vocab.sparkSession
+    write_file(spark, f"{path}/tokenizer.json", tokenizer_json(vocab, merges, sep))
+    rows = vocab.orderBy("id").collect()
+    write_file(spark, f"{path}/vocab.txt", "".join(f"{r['token']}\n" for r in rows))
+    write_file(spark, f"{path}/token_frequencies.tsv", "token_id\ttoken\tfrequency\n" + "".join(f"{r['id']}\t{r['token']}\t{r['frequency']}\n" for r in rows if r["tier"] <= 1))
+
 
-    def save(rows) -> None:
-        import array
-        import os
+def write_metadata(row: DataFrame, path: str) -> None:
+    """The one row of a prepared stream as JSON."""
+    row.coalesce(1).write.mode("overwrite").json(path)
 
-        os.makedirs(path, exist_ok=True)
-        out = None
-        for r in rows:
+
+def _save(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    import pyarrow.fs
+
+    fs, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    out, ids = None, 0
+    for b in batches:
+        for k, x in zip(b.column("block_id").to_pylist(), b.column("ids")):
             if out is None:
-                out = open(os.path.join(path, f"{r['block_id']:012d}.bin"), "wb")  # noqa: SIM115
-            out.write(array.array("I", r["ids"]).tobytes())
-        if out:
-            out.close()
+                name = f"{root}/{k:012d}.bin"
+                out = fs.open_output_stream(f"{name}.part")
+            values = x.values.to_numpy().astype("<u4")
+            ids += len(values)
+            out.write(values.tobytes())
+    if out:
+        out.close()
+        fs.move(f"{name}.part", name)  # a task that is run again writes the same file
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids])], ["file", "ids"])
 
-    blocks.repartitionByRange("block_id").sortWithinPartitions("block_id").foreachPartition(save)
+
+def write_stream_binary(blocks: DataFrame, path: str) -> None:
+    """(block_id, ids) as files of little-endian 32-bit ids, one for each task, named by their first block, in a folder or address that all tasks see."""
+    p = blocks.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(blocks.sparkSession._jsc.hadoopConfiguration()).mkdirs(p)
+    rows = blocks.select("block_id", "ids").repartitionByRange("block_id").sortWithinPartitions("block_id")
+    rows.mapInArrow(lambda it: _save(it, path), "file string, ids bigint").write.format("noop").mode("overwrite").save()
+
+
+def disk_guard(spark: SparkSession, catalogue: DataFrame, path: str, factor: float = 1.5) -> dict[str, object]:
+    """free_gb of the file system at a path against wanted_gb, the catalogue's sizes times factor; warns if that is more, and never stops the work."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    free = p.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus(p).getRemaining() / 1e9
+    wanted = (catalogue.agg(F.sum("approx_size_gb")).first()[0] or 0.0) * factor
+    if free < wanted:
+        warnings.warn(f"{free:.1f} GB free at {path}, {wanted:.1f} GB wanted", stacklevel=2)
+    return {"free_gb": free, "wanted_gb": wanted, "enough": free >= wanted}
 
 
 def size_inventory(spark: SparkSession, path: str) -> DataFrame:
