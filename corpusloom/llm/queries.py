@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import cut, table
 from . import budget, confusables, langid, mixing, neardup, packing, termfreq, tiling, truncation
+from .labels import ALIASES
 
 
 def _vocabulary(spark: SparkSession, d: str, all_: bool = False) -> dict[str, int]:
@@ -145,6 +146,41 @@ o AS (SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents
 n AS (SELECT count(*) AS c FROM d WHERE len(w) > 0),
 v AS (SELECT unnest(map_keys(token_to_id)) AS token, unnest(map_values(token_to_id)) AS id, separator FROM tokenizer)
 """
+_ALIAS = " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in ALIASES.items())
+#: Tokens of each distinct piece: whole ones are one, others are cut into runs of core and other letters; core runs count by letters, others by merged symbols.
+_BUDGET = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, {_PIECES} AS w, text, source, lang, domain FROM documents),
+tok AS (SELECT n, unnest(w) AS p FROM d), v AS (SELECT unnest(map_keys(token_to_id)) AS token FROM tokenizer),
+dp AS (SELECT DISTINCT p FROM tok), ms AS (SELECT p, CASE WHEN regexp_matches(p, '[ఀ-౿]') THEN regexp_extract_all(p, '[ఀ-౿]+|[^ఀ-౿]+') ELSE [p] END AS rs FROM dp WHERE p NOT IN (SELECT token FROM v)),
+rn AS (SELECT p, k, r, k < len(rs) AS cont, CASE WHEN k < len(rs) AND NOT ends_with(r, '@@') THEN r || '@@' ELSE r END AS t FROM (SELECT p, rs, unnest(rs) AS r, generate_subscripts(rs, 1) AS k FROM ms)),
+rw AS (SELECT DISTINCT t, CASE WHEN ends_with(t, '@@') THEN substring(t, 1, length(t) - 2) ELSE t END AS b, ends_with(t, '@@') AS cont FROM rn WHERE t NOT IN (SELECT token FROM v)),
+cl AS (SELECT t, cont, unnest(string_split(b, '')) AS c, generate_subscripts(string_split(b, ''), 1) AS i, length(b) AS l FROM rw WHERE regexp_matches(b, '[ఀ-౿]')),
+cc AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE CASE WHEN i < l THEN a.token IS NULL WHEN cont THEN a.token IS NULL AND z.token IS NULL ELSE z.token IS NULL END) AS u
+  FROM cl LEFT JOIN v a ON a.token = cl.c || '@@' LEFT JOIN v z ON z.token = cl.c GROUP BY t),
+mw AS (SELECT DISTINCT b AS p FROM rw WHERE b <> '' AND NOT regexp_matches(b, '[ఀ-౿]')),
+mg AS (SELECT k AS rank, chr(1) || bpe_merges[k][1] || chr(2) || chr(1) || bpe_merges[k][2] || chr(2) AS pat, chr(1) || bpe_merges[k][1] || bpe_merges[k][2] || chr(2) AS rep FROM (SELECT bpe_merges, unnest(range(1, len(bpe_merges) + 1)) AS k FROM tokenizer)),
+bp(p, step, s) AS (SELECT p, 0, array_to_string(list_transform(string_split(p, ''), lambda c: chr(1) || c || chr(2)), '') FROM mw
+  UNION ALL SELECT p, step + 1, replace(s, m.pat, m.rep) FROM (SELECT bp.p, any_value(bp.step) AS step, any_value(bp.s) AS s, arg_min(struct_pack(pat := mg.pat, rep := mg.rep), mg.rank) AS m FROM bp, mg WHERE contains(bp.s, mg.pat) GROUP BY bp.p)),
+bs AS (SELECT p, unnest(sy) AS y, generate_subscripts(sy, 1) AS j, len(sy) AS m FROM (SELECT p, list_filter(string_split(replace(arg_max(s, step), chr(2), ''), chr(1)), lambda x: x <> '') AS sy FROM bp GROUP BY p)),
+bi AS (SELECT bs.*, CASE WHEN j = m THEN z.token ELSE a.token END AS known FROM bs LEFT JOIN v a ON a.token = bs.y || '@@' LEFT JOIN v z ON z.token = bs.y),
+bc AS (SELECT p, j, m, unnest(string_split(y, '')) AS c, generate_subscripts(string_split(y, ''), 1) AS i, length(y) AS l FROM bi WHERE known IS NULL),
+bj AS (SELECT p, 1 AS n, 0 AS u FROM bi WHERE known IS NOT NULL UNION ALL SELECT bc.p, 1, CAST(CASE WHEN j = m AND i = l THEN z.token ELSE a.token END IS NULL AS INTEGER) FROM bc LEFT JOIN v a ON a.token = bc.c || '@@' LEFT JOIN v z ON z.token = bc.c),
+bt AS (SELECT p, sum(n) AS n, sum(u) AS u FROM bj GROUP BY p),
+ru AS (SELECT t, n, u FROM cc UNION ALL SELECT t, n, u FROM rw JOIN bt ON bt.p = rw.b UNION ALL SELECT token, 1, 0 FROM v),
+pt AS (SELECT p, sum(ru.n) AS n, sum(ru.u) AS u FROM rn JOIN ru USING (t) GROUP BY p UNION ALL SELECT p, 1, 0 FROM dp WHERE p IN (SELECT token FROM v)),
+dt AS (SELECT tok.n, sum(pt.n) AS tokens, sum(pt.u) AS unknown FROM tok JOIN pt USING (p) GROUP BY tok.n),
+kd AS (SELECT n, nullif(regexp_replace(lower(trim(source, ' ')), '[-\s]+', '_', 'g'), '') AS source, CASE regexp_replace(lower(trim(lang, ' ')), '_', '-', 'g') {_ALIAS} END AS lang, domain FROM d),
+ag AS (SELECT source, lang, domain, count(*) AS documents, count(*) FILTER (WHERE tokens > 0) AS with_text, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(unknown), 0) AS BIGINT) AS unknown FROM kd LEFT JOIN dt USING (n) GROUP BY ALL),
+sn AS (SELECT regexp_replace(lower(trim(source, ' ')), '[-\s]+', '_', 'g') AS source, any_value(data_dir) AS data_dir FROM sources GROUP BY 1),
+bu AS (SELECT ag.source, data_dir, lang, domain, documents, with_text, tokens, unknown FROM ag LEFT JOIN sn USING (source))
+"""
+_SUMS = "CAST(sum(documents) AS BIGINT) AS documents, CAST(sum(with_text) AS BIGINT) AS with_text, CAST(sum(tokens) AS BIGINT) AS tokens"
+
+
+def _rolled() -> str:
+    dims = ("source", "data_dir", "lang", "domain")
+    levels = {"all": (), "source": ("source", "data_dir"), "data_dir": ("data_dir",), "lang": ("lang",), "domain": ("domain",), "source_lang": ("source", "data_dir", "lang")}
+    return _BUDGET + " UNION ALL ".join(f"SELECT '{k}' AS level, {', '.join(c if c in by else f'CAST(NULL AS VARCHAR) AS {c}' for c in dims)}, {_SUMS} FROM bu" + (f" GROUP BY {', '.join(by)}" if by else "") for k, by in levels.items())
 
 
 def oracle_sql() -> dict[str, str]:
@@ -154,4 +190,6 @@ def oracle_sql() -> dict[str, str]:
             FROM v LEFT JOIN o USING (token), n WHERE v.id >= 4 AND NOT ends_with(v.token, v.separator)) WHERE mark IS NOT NULL""",
         "p1_vocabulary": f"""{_COUNTED} SELECT v.token, v.id, coalesce(o.occurrences, 0) AS occurrences, coalesce(o.documents, 0) AS documents FROM v LEFT JOIN o USING (token)""",
         "p1_terms": f"""{_COUNTED} SELECT token, occurrences, documents FROM o""",
+        "p3_token_budget": f"{_BUDGET} SELECT * FROM bu",
+        "p3_rollup": _rolled(),
     }
