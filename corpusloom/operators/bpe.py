@@ -82,11 +82,13 @@ def merges_of(words: dict[str, int], merges: int, lazy: bool = False) -> tuple[l
 
 
 def train(words: DataFrame, merges: int = 8000, min_freq: int = 5, lazy: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rank, left, right) and (subword, frequency) from (word, n)."""
+    """(rank, left, right) and (subword, frequency) from (word, n): the loop runs on the driver, or in rounds over more than MOST_WORDS words."""
     spark = words.sparkSession
     kept = cut(words.where((F.col("n") >= min_freq) & (F.col("word") != "")).select("word", "n"))
-    if (n := kept.count()) > MOST_WORDS:
-        raise ValueError(f"{n} words; raise min_freq so that at most {MOST_WORDS} are left, or use learned_in_rounds")
+    if kept.count() > MOST_WORDS:
+        if lazy:
+            raise ValueError(f"more than {MOST_WORDS} words; a loop that forgets pairs runs on the driver only")
+        return learned_in_rounds(kept, merges)
     done, left = merges_of({r[0]: r[1] for r in kept.collect()}, merges, lazy)
     return (
         spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(done)], "rank int, left string, right string"),
@@ -113,13 +115,12 @@ def applied_in_order(words: DataFrame, merges: list[tuple[str, str]]) -> DataFra
     return words.where("word IS NOT NULL").select("word", "freq").mapInArrow(lambda it: _in_order(it, sent.value), "word string, freq bigint, symbols array<string>")
 
 
-def learned_in_rounds(words: DataFrame, merges: int = 8000, min_freq: int = 5, every: int = 8) -> DataFrame:
-    """(rank, left, right) like train, for more words than the driver can hold: each round counts the pairs and merges the best one in all words.
+def learned_in_rounds(words: DataFrame, merges: int, every: int = 8) -> tuple[DataFrame, DataFrame]:
+    """What train gives, for more distinct words (word, n) than the driver can hold: each round counts the pairs and merges the best one in all words.
 
     Only the best pair of a round comes to the driver; lineage is cut every few rounds.
     """
-    spark = words.sparkSession
-    rows = cut(words.where((F.col("n") >= min_freq) & (F.col("word") != "")).select("word", counts.symbols(F.col("word")).alias("symbols"), F.col("n").alias("freq")))
+    rows = cut(words.select("word", counts.symbols(F.col("word")).alias("symbols"), F.col("n").alias("freq")))
     done: list[tuple[int, str, str]] = []
     while len(done) < merges:
         best = counts.pair_counts(rows).where("n >= 2").orderBy(F.desc("n"), "l", "r").first()
@@ -129,4 +130,5 @@ def learned_in_rounds(words: DataFrame, merges: int = 8000, min_freq: int = 5, e
         rows = counts.merge_pair(rows, best["l"], best["r"])
         if len(done) % every == 0:
             rows = cut(rows)
-    return spark.createDataFrame(done, "rank int, left string, right string")
+    left = rows.select(F.explode("symbols").alias("subword"), "freq").groupBy("subword").agg(F.sum("freq").alias("frequency"))
+    return words.sparkSession.createDataFrame(done, "rank int, left string, right string"), left

@@ -390,7 +390,20 @@ def unk_rate(s, d):
     return n.crossJoin(e).select("source_tokens", "stream_tokens", "unk", rate.alias("unk_rate"))  # one row each
 
 
-@query()
+#: Missing pieces without core letters, their characters between chr(1) and chr(2), merged by the lowest rank as long as a pair can be: bpl (p, symbols).
+_MERGED = """mg AS (SELECT k AS rank, chr(1) || bpe_merges[k][1] || chr(2) || chr(1) || bpe_merges[k][2] || chr(2) AS pat, chr(1) || bpe_merges[k][1] || bpe_merges[k][2] || chr(2) AS rep FROM (SELECT bpe_merges, unnest(range(1, len(bpe_merges) + 1)) AS k FROM tokenizer)),
+bp(p, step, s) AS (SELECT p, 0, array_to_string(list_transform(string_split(p, ''), lambda c: chr(1) || c || chr(2)), '') FROM mw
+  UNION ALL SELECT p, step + 1, replace(s, m.pat, m.rep) FROM (SELECT bp.p, any_value(bp.step) AS step, any_value(bp.s) AS s, arg_min(struct_pack(pat := mg.pat, rep := mg.rep), mg.rank) AS m FROM bp, mg WHERE contains(bp.s, mg.pat) GROUP BY bp.p)),
+bpl AS (SELECT p, list_filter(string_split(replace(arg_max(s, step), chr(2), ''), chr(1)), lambda x: x <> '') AS sy FROM bp GROUP BY p)"""
+_BPE_ENC = _ENC.replace("pe AS (SELECT p, list(id ORDER BY i) AS ids FROM mi GROUP BY p", f"""mw AS (SELECT p FROM miss WHERE NOT core), {_MERGED},
+bs AS (SELECT p, unnest(sy) AS y, generate_subscripts(sy, 1) AS j, len(sy) AS m FROM bpl),
+bi AS (SELECT bs.p, bs.j, bs.m, bs.y, CASE WHEN j = m THEN b.id ELSE a.id END AS id FROM bs LEFT JOIN voc a ON a.token = bs.y || '@@' LEFT JOIN voc b ON b.token = bs.y),
+bc AS (SELECT p, j, m, unnest(string_split(y, '')) AS c, generate_subscripts(string_split(y, ''), 1) AS i, length(y) AS l FROM bi WHERE id IS NULL),
+bj AS (SELECT p, j, 0 AS i, id FROM bi WHERE id IS NOT NULL UNION ALL SELECT bc.p, bc.j, bc.i, coalesce(CASE WHEN j = m AND i = l THEN b.id ELSE a.id END, 1) FROM bc LEFT JOIN voc a ON a.token = bc.c || '@@' LEFT JOIN voc b ON b.token = bc.c),
+pe AS (SELECT p, list(id ORDER BY j, i) AS ids FROM bj GROUP BY p UNION ALL SELECT p, list(id ORDER BY i) AS ids FROM mi WHERE p IN (SELECT p FROM miss WHERE core) GROUP BY p""")
+
+
+@query(f"WITH RECURSIVE {_BPE_ENC} SELECT doc_id, {_SHOW.format('ids')} AS ids FROM enc")
 def bpe_encode(s, d):
     """Encoding with the tokenizer's merges."""
     return encode.encoded(_docs(s, d), encode.encoder_of(table(s, d, "tokenizer"))).where(F.size("ids") > 0).select("doc_id", _shown(F.col("ids")).alias("ids"))
@@ -496,6 +509,21 @@ def bpe_apply_order(s, d):
     return bpe.applied_in_order(_other_words(s, d), list(_ORDER)).select("word", "freq", F.array_join("symbols", " ").alias("symbols"))
 
 
+#: Merges of the checked training.
+FIRST = 24
+
+
+@query(f"""WITH RECURSIVE {_SEG_COUNTS}, {_OTHER}, tr(step, l, r, word, freq, s) AS (SELECT 0, NULL::VARCHAR, NULL::VARCHAR, word, freq, array_to_string(list_transform(string_split(word, ''), lambda c: chr(1) || c || chr(2)), '') FROM ow WHERE word <> ''
+  UNION ALL SELECT tr.step + 1, b.l, b.r, tr.word, tr.freq, replace(tr.s, chr(1) || b.l || chr(2) || chr(1) || b.r || chr(2), chr(1) || b.l || b.r || chr(2)) FROM tr, (
+    SELECT l, r FROM (SELECT sy[i] AS l, sy[i + 1] AS r, freq FROM (SELECT sy, freq, unnest(range(1, len(sy))) AS i FROM (SELECT list_filter(string_split(replace(s, chr(2), ''), chr(1)), lambda x: x <> '') AS sy, freq FROM tr)))
+    GROUP BY l, r HAVING sum(freq) >= 2 ORDER BY sum(freq) DESC, l, r LIMIT 1) b WHERE tr.step < {FIRST})
+SELECT DISTINCT step - 1 AS rank, l AS "left", r AS "right" FROM tr WHERE step > 0""")
+def bpe_first_merges(s, d):
+    """The first merges of the training, which only number FIRST here so that SQL can follow."""
+    w = counts.other_counts(_token_counts(s, d)).withColumnRenamed("base", "word")
+    return bpe.train(w, FIRST)[0]
+
+
 @query()
 def bpe_train(s, d):
     """Merges learned from the other tokens."""

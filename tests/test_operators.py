@@ -191,3 +191,103 @@ def test_a_lexicon_beyond_what_is_sent_stays_whole(spark, monkeypatch):
     sent = learned(segment.train(words))
     monkeypatch.setattr(segment, "MOST_MORPHS", 3)
     assert learned(segment.train(words)) == sent and len(sent[0]) > 3 and any(len(m) > 1 for m in sent[0])
+
+
+def test_merges_in_rounds_are_the_same(spark, monkeypatch):
+    random.seed(5)
+    rows = sorted({("".join(random.choices("abcd", k=random.randrange(1, 7))), random.randrange(1, 9)) for _ in range(25)} | {("aaaa", 7), ("", 9)})
+    words = spark.createDataFrame(list(dict(rows).items()), "word string, n bigint")
+    monkeypatch.setattr(bpe, "MOST_WORDS", 3)
+    merges, left = bpe.train(words, 11, 2)
+    done, want = bpe.merges_of({w: n for w, n in dict(rows).items() if w and n >= 2}, 11)
+    assert [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()] == done
+    assert dict(map(tuple, left.collect())) == dict(want)
+
+
+@given(st.text("abc", max_size=10), st.lists(st.tuples(st.sampled_from(["a", "b", "ab", "c"]), st.sampled_from(["a", "b", "c", "bc"])), max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_merges_applied_in_order(word, merges):
+    s = list(word)
+    for pair in merges:
+        s = merge(s, pair)
+    assert bpe.encode_in_order(word, merges) == s
+
+
+def test_in_order_over_tables(spark):
+    w = spark.createDataFrame([("anana", 3), (None, 1), ("", 2)], "word string, freq bigint")
+    assert {r["word"]: r["symbols"] for r in bpe.applied_in_order(w, [("a", "n"), ("an", "a")]).collect()} == {"anana": ["an", "ana"], "": []}
+
+
+def test_prompts_come_from_the_tail(spark):
+    s = stream_of(spark, [50, 51])
+    flat = [10 * i + k for i, n in enumerate([50, 51]) for k in range(n)]
+    got = pack.sampled_prompts(s, 0.2, 4, 5).collect()
+    assert len(got) == 5 and all(81 <= r["start"] <= 97 and r["ids"] == flat[r["start"] : r["start"] + 4] for r in got)
+    assert pack.sampled_prompts(s, 0.02, 4, 5).count() == 0
+
+
+def test_offsets_over_odd_rows(spark):
+    d = spark.createDataFrame([(3, None), (1, 4), (2, 0), (7, 5)], "doc_id bigint, n bigint")
+    assert {r["doc_id"]: r["start"] for r in pack.offsets(d).collect()} == {1: 0, 2: 4, 3: 4, 7: 4}
+    assert pack.offsets(d.where("false")).count() == 0
+
+
+def test_pipeline_round_trip(spark, tmp_path):
+    """What the learned pipeline encodes comes back, white space aside, for words whose letters the vocabulary holds."""
+    texts = ["గ్రామం గ్రామంలో IPLలో పుస్తకం", "గ్రామంలో పుస్తకం the the 2024లో", None, "  ", "పుస్తకం the గ్రామం"]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts * 4)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seg = segment.segment_texts(docs, segment.train(counts.core_word_counts(docs)))
+    tokens = counts.token_counts(seg)
+    merges, symbols = bpe.train(counts.other_counts(tokens).withColumnRenamed("base", "word"), 50, 2)
+    v = vocab.vocab_ids(counts.core_counts(tokens), symbols.select(F.col("subword").alias("token"), F.col("frequency").alias("n")))
+    assert v.where("tier = 2 AND token = 'the'").count() == 1
+    e = encode.Encoder({r["token"]: r["id"] for r in v.collect()}, [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()])
+    ids = encode.encoded(seg.select("doc_id", F.array_join("tokens", " ").alias("text")), e, bos=2, eos=3)
+    back = {r["doc_id"]: r["text"] for r in encode.decoded(ids, v.select("token", "id")).collect()}
+    assert back == {k: " ".join(x.split()) for k, x in enumerate(texts * 4) if x and x.strip()}
+    got = queries.QUERIES["pipeline_learned"](spark, str(tmp_path)).collect()
+    assert len(got) == 12 and all(r["ids"].endswith(" 3") for r in got)
+
+
+def test_segmentation_within_the_row_is_the_joined_one(spark):
+    words = spark.createDataFrame([("గ్రామలో", 9), ("గ్రామ", 7), ("నగరలో", 6), ("నగర", 5)], "word string, n bigint")
+    model = segment.train(words)
+    docs = spark.createDataFrame([(1, "గ్రామలో IPLనగరలో@@x  y"), (2, None), (3, " "), (4, "గ్రామలో"), (4, "గ్రామలో")], "doc_id bigint, text string")
+    found = docs.where("doc_id < 4").select(F.explode(segment.t.core_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    assert {r[0]: r[1] for r in segment.segment_texts(docs.where("doc_id < 4"), model).collect()} == {r[0]: r[1] for r in segment.segment_documents(docs.where("doc_id < 4"), model.split(found)).collect()}
+    assert segment.segment_texts(docs, model).count() == 3
+
+
+def test_hot_texts_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality, "COPIES", 2)
+    d = spark.createDataFrame([(k, "a b" if k % 2 else f"c{k}") for k in range(10)] + [(20, " "), (21, "")], "doc_id bigint, text string")
+    assert {tuple(r) for r in quality.exact_duplicates(d).collect()} == {(k, 1 if k % 2 else k) for k in range(10)} | {(20, 20), (21, 20)}
+
+
+def test_losses_and_quotas(spark):
+    d = spark.createDataFrame([(1, "a a b", "s"), (2, "z", "s"), (3, None, "s"), (4, "a", "t"), (5, "a", None)], "doc_id bigint, text string, source string")
+    teacher = quality.unigram_loss(d, counts.piece_counts(d), "teacher")
+    student = quality.unigram_loss(d, counts.piece_counts(d.where("doc_id = 4")), "student")
+    assert {r[0] for r in teacher.collect()} == {1, 2, 4, 5} and {r["doc_id"]: r["student"] for r in student.collect()}[4] == round(__import__("math").log2(3 / 2), 6)
+    assert 0 < quality.hard_set(teacher, student, 0.5).count() < 4
+    s = spark.createDataFrame([("s", 0.6), ("t", 0.4), ("u", None)], "source string, target_share double")
+    assert sorted(r["source"] for r in quality.source_quotas(d, s, 4).collect()) == ["s", "s", "t"]
+    assert quality.source_quotas(d.where("false"), s, 4).count() == 0
+
+
+def test_types_and_masks(spark):
+    rows = [(1, 0, "user", "Why?"), (1, 1, "assistant", "A b"), (2, 0, "user", "do:\n- x"), (3, 0, "User", "go on"), (4, 0, "user", "this is a long one"), (5, 0, "assistant", "x")]
+    c = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert {tuple(r) for r in quality.instruction_types(c).collect()} == {(1, "question"), (2, "list"), (3, "short"), (4, "statement")}
+    got = [(r["token"], r["loss"]) for r in quality.loss_mask_tokens(c).where("conv_id = 1").orderBy("turn", "pos").collect()]
+    assert got == [("Why?", 0), ("A", 1), ("b", 1), ("<eos>", 1)]
+
+
+def test_heads_and_shares(spark):
+    g = ngrams.suffix_ngrams(spark.createDataFrame([(1, [5, 6, 7]), (2, [])], "doc_id bigint, ids array<int>"))
+    h = {(r["pos"], r["order"], r["head"]): r["slot"] for r in ngrams.hash_heads(g).collect()}
+    assert len(h) == 8 * (2 + 1) and h[2, 3, 4] == ((7 * ngrams.HEADS[4][0]) ^ (6 * ngrams.HEADS[4][1]) ^ (5 * ngrams.HEADS[4][2])) % 500009
+    assert len({ngrams.HEADS[k] for k in range(8)}) == 8
+    top = ngrams.cumulative(ngrams.skew(g)).collect()
+    assert [(r["n"], r["share_of_occurrences"]) for r in top] == [(1, 1.0)]

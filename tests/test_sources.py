@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from corpusloom.operators import counts
 from corpusloom.sources import readers, sinks
 from corpusloom.streaming.counts import stream_core_word_counts
@@ -83,3 +85,70 @@ def test_limits(spark):
     assert sorted(r["doc_id"] for r in readers.first_per_source(d, 2).collect()) == [0, 1, 2, 3]
     assert sorted(r["doc_id"] for r in readers.budget_sample(d, 5).collect()) == [0, 1, 2]
     assert readers.subset(d, ["s", "unknown"]).count() == 5 and readers.subset(d, []).count() == 0
+
+
+def test_bundle_and_metadata(spark, tmp_path):
+    v = spark.createDataFrame([("<pad>", 0, 0, 0), ("క", 1, 1, 7), ("ab", 2, 2, 3)], "token string, id int, tier int, frequency bigint")
+    sinks.write_tokenizer(v, spark.createDataFrame([(0, "a", "b")], "rank int, left string, right string"), str(tmp_path / "t"))
+    assert (tmp_path / "t/vocab.txt").read_text() == "<pad>\nక\nab\n"
+    assert (tmp_path / "t/token_frequencies.tsv").read_text() == "token_id\ttoken\tfrequency\n0\t<pad>\t0\n1\tక\t7\n"
+    assert readers.read_tokenizer(spark, str(tmp_path / "t")).first()["bpe_merges"] == [["a", "b"]]
+    row = spark.createDataFrame([(5, 256, 9, 1, 10, 0.5, "uint32")], readers.METADATA)
+    sinks.write_metadata(row, str(tmp_path / "meta"))
+    assert readers.read_metadata(spark, str(tmp_path / "meta")).collect() == row.collect()
+    with pytest.raises(FileNotFoundError):
+        readers.read_metadata(spark, str(tmp_path / "t/none")) if (tmp_path / "t/none").mkdir() is None else None
+
+
+def test_segmented(spark, tmp_path):
+    rows = spark.createDataFrame([(1, ["క@@", "ల"], "s"), (2, ["x"], None)], "doc_id bigint, tokens array<string>, source string")
+    sinks.write_segmented(rows, str(tmp_path / "p"), by="source")
+    assert sorted(r["text"] for r in readers.read_segmented(spark, str(tmp_path / "p")).collect()) == ["x", "క@@ ల"]
+    (tmp_path / "raw").mkdir(), (tmp_path / "none").mkdir(), (tmp_path / "seg/a").mkdir(parents=True)
+    (tmp_path / "raw/a.txt").write_text("one two\n\n")
+    (tmp_path / "seg/a/b.seg.txt").write_text("u@@ v\n")
+    assert [r["tokens"] for r in readers.read_segmented(spark, str(tmp_path / "seg")).collect()] == [["u@@", "v"]]
+    assert [r["tokens"] for r in readers.read_segmented(spark, str(tmp_path / "none"), str(tmp_path / "raw")).collect()] == [["one", "two"]]
+    with pytest.raises(FileNotFoundError):
+        readers.read_segmented(spark, str(tmp_path / "none"))
+    sinks.write_json(rows.select("doc_id"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_sources_by_name(spark, tmp_path):
+    (tmp_path / "v/tel").mkdir(parents=True)
+    (tmp_path / "v/tel/a.txt").write_text("కల మల\nx\n")
+    (tmp_path / "v/tel/b.jsonl").write_text('{"text": "కల"}\n')
+    c = spark.createDataFrame([("s", "v/tel", 1e12), ("t", "gone", None), ("u", None, None)], "source string, data_dir string, approx_size_gb double")
+    docs, missing = readers.load_sources(spark, c, str(tmp_path), ["s", "t", "u", "w"])
+    assert {(r["text"], r["source"]) for r in docs.collect()} == {("కల మల", "s"), ("x", "s"), ("కల", "s")} and missing == ["t", "u", "w"]
+    with pytest.warns(UserWarning, match="w"):
+        assert readers.unknown_names(c, ["s", "w"]) == ["w"]
+    assert [r["bytes"] for r in readers.largest_first(spark, str(tmp_path / "v")).orderBy("rank").collect()] == sorted([(tmp_path / "v/tel" / n).stat().st_size for n in ("a.txt", "b.jsonl")], reverse=True)
+    got = readers.sample_of_files(spark, str(tmp_path / "v"), 1).collect()
+    assert len(got) == 1 and got[0]["words"] in (1, 2) and readers.sample_of_files(spark, str(tmp_path / "v"), 100).count() == 2
+    with pytest.warns(UserWarning, match="wanted"):
+        assert sinks.disk_guard(spark, c, str(tmp_path))["enough"] is False
+
+
+def test_binary_streams_come_back(spark, tmp_path):
+    blocks = spark.createDataFrame([(k, list(range(4 * k, 4 * k + 4))) for k in range(9)], "block_id bigint, ids array<int>")
+    sinks.write_stream_binary(blocks, str(tmp_path / "b"))
+    rows = readers.read_stream_binary(spark, str(tmp_path / "b")).orderBy("first_block").collect()
+    assert [x for r in rows for x in r["ids"]] == list(range(36)) and all(r["ids"][0] == 4 * r["first_block"] for r in rows)
+
+
+def test_failing_texts_stay(spark):
+    from corpusloom.functions import tolerant
+
+    d = spark.createDataFrame([(1, "7"), (2, "x"), (3, None)], "doc_id bigint, text string")
+    assert {tuple(r) for r in tolerant.map_texts(d, lambda x: str(int(x) + 1)).collect()} == {(1, "8", None), (2, "x", "ValueError"), (3, None, None)}
+
+
+def test_counters_of_a_stage(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.plans.metrics import Stage
+
+    got = Stage("s", spark.range(10), rows=F.count(F.lit(1)), top=F.max("id")).run(lambda df: df.write.format("noop").mode("overwrite").save())
+    assert (got["rows"], got["top"], got["stage"]) == (10, 9, "s") and got["rows_per_second"] > 0
