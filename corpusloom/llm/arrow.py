@@ -1,28 +1,5 @@
-"""Small helpers for operators that walk over Arrow batches."""
+"""Walking over Arrow batches, as the core does."""
 
-from __future__ import annotations
+from ..plans.batches import BYTES, ROWS, slices
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-
-#: Texts are turned into Python objects this many at a time, or fewer if they are long; both only bound memory.
-ROWS, BYTES = 1000, 4_000_000
-
-
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in slices of bounded rows and bytes; a single longer text is a slice of its own."""
-    for b in batches:
-        at, n = 0, b.num_rows
-        while at < n:
-            size = min(ROWS, n - at)
-            while size > 1 and b.slice(at, size).column(text).get_total_buffer_size() and _bytes(b.slice(at, size).column(text)) > BYTES:
-                size //= 2
-            yield b.slice(at, size)
-            at += size
-
-
-def _bytes(column: pa.Array) -> int:
-    import pyarrow.compute as pc
-
-    return pc.sum(pc.binary_length(column)).as_py() or 0
+__all__ = ["BYTES", "ROWS", "slices"]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.encode import Encoder
+from ..operators.encode import Encoder, checked
 from .arrow import slices
 from .confusables import Keys
 from .labels import lang_code, source_key
@@ -30,8 +30,9 @@ def _encoder(spec: tuple) -> tuple[Encoder, Keys]:
 
 
 def spec_of(tokenizer: DataFrame, core: str = "ఀ-౿") -> tuple:
-    """What the tasks need of a tokenizer table's one row; its size is the vocabulary's."""
+    """What the tasks need of a tokenizer table's one row; its size, the vocabulary's, is checked."""
     r = tokenizer.select("token_to_id", "bpe_merges", "separator", "special_tokens").first()
+    checked(max(len(r["token_to_id"]), len(r["bpe_merges"] or [])))
     unk = (r["special_tokens"] or {}).get("<unk>", 1)
     return (tuple(sorted(r["token_to_id"].items())), tuple((m[0], m[1]) for m in r["bpe_merges"] or []), r["separator"] or "@@", core, unk)
 

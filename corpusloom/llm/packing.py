@@ -176,18 +176,17 @@ def packed(lengths: DataFrame, configs: DataFrame, shards: int) -> DataFrame:
     """
     items = lengths.where("n > 0").select(F.col("doc_id").alias("id"), "n", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
     wanted = configs.where("block_size > 0").select("config_name", "block_size")
-    if (k := wanted.count()) > MOST_CONFIGS:
-        raise ValueError(f"{k} configurations; each packs all documents")
-    if not k:
-        wanted = [(None, 1)]  # no configuration: no row is packed
-        items = items.where("false")
-    else:
-        wanted = [(r[0], r[1]) for r in wanted.collect()]
-    each = F.explode(F.array(*(F.struct(F.lit(a).cast("string").alias("config_name"), F.lit(b).cast("int").alias("block_size")) for a, b in wanted))).alias("c")
-    items = items.select("id", "n", "shard", each).select("id", "n", "shard", "c.config_name", "c.block_size")
-    # a given number of partitions isn't merged: shards are few bytes but long work, and each partition should hold one at most
-    items = items.repartition(4 * shards * len(wanted), "config_name", "block_size", "shard")
-    return items.groupBy("config_name", "block_size", "shard").applyInArrow(lambda t: _shard(t), "config_name string, block_id bigint, doc_id bigint, part int, start int, tokens int")
+    out = None
+    rows = [(r[0], r[1]) for r in wanted.toLocalIterator()]
+    # no configuration: no row is packed; each further MOST_CONFIGS are a pass of their own
+    for part in [rows[k : k + MOST_CONFIGS] for k in range(0, len(rows), MOST_CONFIGS)] or [[]]:
+        each = F.explode(F.array(*(F.struct(F.lit(a).cast("string").alias("config_name"), F.lit(b).cast("int").alias("block_size")) for a, b in part or [(None, 1)]))).alias("c")
+        own = (items if part else items.where("false")).select("id", "n", "shard", each).select("id", "n", "shard", "c.config_name", "c.block_size")
+        # a given number of partitions isn't merged: shards are few bytes but long work, and each partition should hold one at most
+        own = own.repartition(4 * shards * max(1, len(part)), "config_name", "block_size", "shard")
+        packed_ = own.groupBy("config_name", "block_size", "shard").applyInArrow(lambda t: _shard(t), "config_name string, block_id bigint, doc_id bigint, part int, start int, tokens int")
+        out = packed_ if out is None else out.unionByName(packed_)
+    return out
 
 
 def summary(blocks: DataFrame, configs: DataFrame) -> DataFrame:

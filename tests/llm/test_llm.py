@@ -79,6 +79,21 @@ def test_ranges_of_ids(spark, odd):
     assert len(got) == len(ids) and got["కల"] == 4 and got["మల"] == 3 and sum(got.values()) == 7
 
 
+def test_dictionary_of_many_ranges(spark, odd, monkeypatch):
+    monkeypatch.setattr(termfreq, "RANGE_TERMS", 2)
+    monkeypatch.setattr(termfreq, "BLOCK_TERMS", 3)
+    want, docs = Counter(), Counter()
+    for _, t, *_ in ODD:
+        want.update((t or "").split())
+        docs.update(set((t or "").split()))
+    got = termfreq.counts_of_all_terms(odd).collect()
+    assert {r["token"]: (r["occurrences"], r["documents"]) for r in got} == {w: (want[w], docs[w]) for w in want} and sorted(r["term_id"] for r in got) == list(range(len(want)))
+    ids = {"కల": 4, "zz": 9, "మల": 7}
+    sent = sorted(termfreq.counts_by_dictionary(odd, ids).collect())
+    monkeypatch.setattr(termfreq, "MOST_GIVEN", 1)
+    assert sorted(termfreq.counts_by_dictionary(odd, ids).collect()) == sent
+
+
 # 2
 
 
@@ -207,7 +222,7 @@ def test_bound_of_bins(lengths):
     assert -(-int(n.sum()) // 20) <= packing.least_bins(n, 20) <= len(packing.best_fit(n, 20))
 
 
-def test_packed(spark):
+def test_packed(spark, monkeypatch):
     configs = spark.createDataFrame([("c", 10, 0), ("none", None, 1), ("zero", 0, 1)], "config_name string, block_size int, n int")
     lengths = spark.createDataFrame([(1, 25), (2, 4), (3, 0), (4, 6), (None, 3), (2, 4)], "doc_id bigint, n bigint")
     rows = packing.packed(lengths, configs, 1).collect()
@@ -216,7 +231,10 @@ def test_packed(spark):
         per[r["block_id"]] += r["tokens"]
     assert max(per.values()) <= 10 and sum(per.values()) == 42 and {r["doc_id"] for r in rows if r["part"]} == {1} and None in {r["doc_id"] for r in rows}
     assert packing.summary(packing.packed(lengths, configs, 1), configs).first()["blocks"] == len(per) == 5
-    assert packing.packed(lengths.where("false"), configs, 2).count() == 0
+    assert packing.packed(lengths.where("false"), configs, 2).count() == 0 and packing.packed(lengths, configs.where("false"), 2).count() == 0
+    monkeypatch.setattr(packing, "MOST_CONFIGS", 1)
+    two = spark.createDataFrame([("c", 10), ("d", 30)], "config_name string, block_size int")
+    assert sorted(map(str, packing.packed(lengths, two, 1).where("config_name = 'c'").collect())) == sorted(map(str, rows))
 
 
 # 5
