@@ -196,3 +196,18 @@ def report(split: DataFrame, top: int = 30, shown=SHOWN) -> DataFrame:
     """(part, word, parts, n): the most frequent words of (word, n, parts), ties by code points, and those of a list that occur."""
     listed = split.where(F.col("word").isin(*shown)).select(F.lit("listed").alias("part"), "word", "parts", "n")
     return split.orderBy(F.desc("n"), "word").limit(top).select(F.lit("frequent").alias("part"), "word", "parts", "n").unionByName(listed)
+
+
+#: Letters of a word, and characters of a text, beyond which it isn't segmented.
+LONG_WORD, GIANT_TEXT = 80, 500_000
+
+
+def guarded_word(word, segment, most: int = LONG_WORD):
+    """Column: the parts of a word, or the word alone if it is longer than most."""
+    return F.when(F.length(word) > most, F.array(word)).otherwise(segment(word))
+
+
+def guarded_text(text, segment, most: int = GIANT_TEXT):
+    """Columns: whether a text is longer than most, and its tokens, then its pieces as they are."""
+    giant = F.length(text) > most
+    return giant, F.when(giant, t.pieces(text)).otherwise(t.segmented(text, segment))

@@ -29,15 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """The same rows with their lineage cut, written to the reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir, or the context's checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one (tests, one machine) gets a temporary folder.
+    A session on one machine without either gets a temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if (own := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return own.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/corpusloom-checkpoints"
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """The same rows with their lineage cut, written to the reliable checkpoint folder below shared_folder.
+
+    Spark removes what no table needs any more if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 

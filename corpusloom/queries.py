@@ -84,8 +84,8 @@ def _split(w):
     return t.split_after(w, LEAST, HEAD)
 
 
-def _segmented(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).where("text IS NOT NULL").select("doc_id", t.segmented(F.col("text"), _split).alias("tokens")).where(F.size("tokens") > 0)
+def _segmented(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL").select("doc_id", t.segmented(F.col("text"), _split).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def _token_counts(s: SparkSession, d: str) -> DataFrame:
@@ -192,20 +192,19 @@ def budget_sample(s, d):
     return readers.budget_sample(_docs(s, d), 50_000)
 
 
-@query(f"WITH {_WORDS} SELECT word, CASE WHEN length(word) > 12 THEN word ELSE substring(word, 1, {HEAD}) || CASE WHEN length(word) >= {LEAST} THEN '@@ ' || substring(word, {HEAD + 1}) ELSE substring(word, {HEAD + 1}) END END AS parts FROM cw")
+@query(f"WITH {_WORDS} SELECT word, CASE WHEN length(word) > {segment.LONG_WORD} THEN word ELSE substring(word, 1, {HEAD}) || CASE WHEN length(word) >= {LEAST} THEN '@@ ' || substring(word, {HEAD + 1}) ELSE substring(word, {HEAD + 1}) END END AS parts FROM cw")
 def long_token_guard(s, d):
     """Words beyond a length stay whole."""
-    parts = F.when(F.length("word") > 12, F.array("word")).otherwise(_split(F.col("word")))
+    parts = segment.guarded_word(F.col("word"), _split)
     return _words(s, d).select("word", F.array_join(t.marked(parts), " ").alias("parts"))
 
 
 @query(f"""WITH {_SEG}, g AS (SELECT doc_id, string_agg(token, ' ' ORDER BY pos, k) AS text FROM seg GROUP BY doc_id), r AS (SELECT doc_id, string_agg(p, ' ' ORDER BY pos) AS text FROM tok GROUP BY doc_id)
-SELECT doc_id, length(d.text) > 2000 AS guarded, CASE WHEN length(d.text) > 2000 THEN r.text ELSE g.text END AS text FROM documents d JOIN g USING (doc_id) JOIN r USING (doc_id)""")
+SELECT doc_id, length(d.text) > {segment.GIANT_TEXT} AS guarded, CASE WHEN length(d.text) > {segment.GIANT_TEXT} THEN r.text ELSE g.text END AS text FROM documents d JOIN g USING (doc_id) JOIN r USING (doc_id)""")
 def giant_doc_guard(s, d):
     """Documents beyond a length aren't segmented; their white space is still collapsed."""
-    big = F.length("text") > 2000
-    tokens = F.when(big, t.pieces(F.col("text"))).otherwise(t.segmented(F.col("text"), _split))
-    rows = _docs(s, d).where("text IS NOT NULL").select("doc_id", big.alias("guarded"), tokens.alias("tokens"))
+    guarded, tokens = segment.guarded_text(F.col("text"), _split)
+    rows = _docs(s, d).where("text IS NOT NULL").select("doc_id", guarded.alias("guarded"), tokens.alias("tokens"))
     return rows.where(F.size("tokens") > 0).select("doc_id", "guarded", F.array_join("tokens", " ").alias("text"))
 
 
@@ -232,7 +231,7 @@ def segment_pure_words_toy(s, d):
 
 @query(f"WITH {_SEG} SELECT doc_id, string_agg(token, ' ' ORDER BY pos, k) AS text FROM seg GROUP BY doc_id")
 def segment_documents_toy(s, d):
-    return _segmented(s, d).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    return _segmented(_docs(s, d)).select("doc_id", F.array_join("tokens", " ").alias("text"))
 
 
 @query(f"""WITH {_TOK}, q AS (SELECT doc_id, pos, CASE WHEN regexp_full_match(p, '[{_C}]+') AND length(p) >= {LEAST} THEN substring(p, 1, {HEAD}) || '@@ ' || substring(p, {HEAD + 1}) ELSE p END AS p FROM tok)
@@ -414,11 +413,11 @@ def bpe_encode(s, d):
 
 def _pipeline(s: SparkSession, d: str) -> DataFrame:
     """Documents segmented, encoded by the vocabulary of their own segments: (doc_id, ids) in order of the ids, each with <eos>."""
-    seg = _segmented(s, d).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    seg = _segmented(pack.by_ranges(_docs(s, d).select("doc_id", "text"))).select("doc_id", F.array_join("tokens", " ").alias("text"))
     ids = _vocab(s, d).select("token", "id")
     encode.checked(ids.count())
     e = encode.Encoder({r["token"]: r["id"] for r in ids.collect()})
-    return pack.with_eos(encode.encoded(pack.by_ranges(seg), e))
+    return pack.with_eos(encode.encoded(seg, e))
 
 
 @query("pipeline_encode")

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.tables import shared_folder
 from ..sources.readers import read_stream
 
 
 def stream_core_word_counts(spark: SparkSession, path: str, profile=t.TELUGU, state: str | None = None) -> DataFrame:
     """(word, n) after all files that are there now have been taken in; running counts are the query's state.
 
-    state is the folder of the query's progress and counts; without one a new folder below the session's checkpoint folder (or a temporary one) is used.
+    state is the folder of the query's progress and counts; without one a new folder below the shared one is used.
     """
-    base = state or f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    base = state or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).select("text").schema
     words = read_stream(spark, path, schema).where("text IS NOT NULL AND text <> ''").select(F.explode(t.core_words(F.col("text"), profile)).alias("word"))
     out = f"{base}/counts"

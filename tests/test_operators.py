@@ -291,3 +291,12 @@ def test_heads_and_shares(spark):
     assert len({ngrams.HEADS[k] for k in range(8)}) == 8
     top = ngrams.cumulative(ngrams.skew(g)).collect()
     assert [(r["n"], r["share_of_occurrences"]) for r in top] == [(1, 1.0)]
+
+
+def test_guards(spark):
+    d = spark.createDataFrame([(1, "కలమల  కలమల"), (2, "కలమల"), (3, None), (4, "కలమలక")], "doc_id bigint, text string")
+    half = lambda w: segment.t.split_after(w, 3, 2)
+    giant, tokens = segment.guarded_text(F.col("text"), half, 5)
+    got = {r[0]: (r[1], r[2]) for r in d.select("doc_id", giant, tokens).collect()}
+    assert got == {1: (True, ["కలమల", "కలమల"]), 2: (False, ["కల@@", "మల"]), 3: (None, None), 4: (False, ["కల@@", "మలక"])}
+    assert [r[0] for r in d.where("doc_id in (2, 4)").orderBy("doc_id").select(segment.guarded_word(F.col("text"), half, 4)).collect()] == [["కల", "మల"], ["కలమలక"]]
