@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,14 +134,23 @@ def segment_documents(docs: DataFrame, split: DataFrame, profile=t.TELUGU, sep:
 SALTS = 16
 
 
-def _segment(batches: Iterator[pa.RecordBatch], model: tuple, chars: str, sep: str, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def split_after(word: str, least: int, head: int) -> list[str]:
+    """A deterministic segmenter: words of at least so many letters are split after the head."""
+    return [word[:head], word[head:]] if len(word) >= least else [word]
+
+
+def _by_model(word: str, model: tuple) -> list[str]:
     cost, unseen, longest, guard = model
+    return [word] if guard and len(word) > guard else best_split(word, cost, unseen, longest)
+
+
+def _segment(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], chars: str, sep: str, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     runs, core, memory = re.compile(f"[{chars}]+|[^{chars}]+"), re.compile(f"[{chars}]"), {}
 
     def tokens(piece: str) -> list[str]:
         parts = []
         for r in runs.findall(piece):
-            parts += best_split(r, cost, unseen, longest) if core.match(r) and not (guard and len(r) > guard) else [r]
+            parts += split(r) if core.match(r) else [r]
         return [*(x if x.endswith(sep) else x + sep for x in parts[:-1]), parts[-1]] if core.search(piece) else [piece]
 
     for b in slices(batches):
@@ -158,16 +167,19 @@ def _segment(batches: Iterator[pa.RecordBatch], model: tuple, chars: str, sep: s
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.string()))], ["id", "tokens"])
 
 
-def segment_texts(docs: DataFrame, model: Segmenter, profile=t.TELUGU, sep: str = t.SEP, id: str = "doc_id") -> DataFrame:
-    """(id, tokens): each document in the model's segments, within the row: each distinct piece of a task is taken apart once.
+def segment_texts(docs: DataFrame, model: Segmenter | Callable[[str], list[str]], profile=t.TELUGU, sep: str = t.SEP, id: str = "doc_id") -> DataFrame:
+    """(id, tokens): each document in the segments of a model or a function of a word, within the row: each distinct piece of a task is taken apart once.
 
     Documents without text, or with a blank one, have no row. A lexicon too large for the tasks splits the distinct words, which are joined back.
     """
-    if model.size > MOST_MORPHS:
+    split = model
+    if isinstance(model, Segmenter) and model.size > MOST_MORPHS:
         words = docs.select(F.explode(t.core_words(F.col("text"), profile)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         return segment_documents(docs, model.split(words), profile, sep, id)
-    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
-    rows = docs.select(F.col(id).alias("id"), "text").mapInArrow(lambda it: _segment(it, sent.value, profile.chars, sep), "id bigint, tokens array<string>")
+    if isinstance(model, Segmenter):
+        sent = docs.sparkSession.sparkContext.broadcast(model.sent())
+        split = lambda w: _by_model(w, sent.value)
+    rows = docs.select(F.col(id).alias("id"), "text").mapInArrow(lambda it: _segment(it, split, profile.chars, sep), "id bigint, tokens array<string>")
     return rows.where(F.size("tokens") > 0).withColumnRenamed("id", id)
 
 

@@ -58,3 +58,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """The table, marked to be sent to all tasks if its rows, counted now, are at most so many; a larger one is left to the optimizer."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+#: Rows of one key after which the key is joined apart from the others.
+HOT = 10_000
+
+
+def join_counted(rows: DataFrame, other: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
+    """rows joined to a table with a row for each key and the number of rows that have it; both are read several times, so they should be cut before.
+
+    Keys of more than HOT rows are few (a HOT-th of the rows at most), so they go to all tasks after their number was checked, and no task gets all rows of a
+    hot key.
+    """
+    hot = small(other.where(F.col(count) > HOT).drop(count))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(other.where(F.col(count) <= HOT).drop(count), keys, how)
+    return cold.unionByName(rows.join(hot, keys))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def _split(w):
 
 
 def _segmented(docs: DataFrame) -> DataFrame:
-    return docs.where("text IS NOT NULL").select("doc_id", t.segmented(F.col("text"), _split).alias("tokens")).where(F.size("tokens") > 0)
+    return segment.segment_texts(docs, partial(segment.split_after, least=LEAST, head=HEAD))
 
 
 def _token_counts(s: SparkSession, d: str) -> DataFrame:

@@ -152,3 +152,14 @@ def test_counters_of_a_stage(spark):
 
     got = Stage("s", spark.range(10), rows=F.count(F.lit(1)), top=F.max("id")).run(lambda df: df.write.format("noop").mode("overwrite").save())
     assert (got["rows"], got["top"], got["stage"]) == (10, 9, "s") and got["rows_per_second"] > 0
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from corpusloom.plans import tables
+
+    monkeypatch.setattr(tables, "HOT", 2)
+    rows = spark.createDataFrame([(k, "h" if k < 5 else f"c{k % 2}") for k in range(8)] + [(9, None), (10, "none")], "id int, key string")
+    other = spark.createDataFrame([("h", 5, "x"), ("c1", 2, "y"), ("c0", 1, "z")], "key string, n int, value string")
+    for how, missing in (("left", [(9, None), (10, None)]), ("inner", [])):
+        got = sorted((r["id"], r["value"]) for r in tables.join_counted(rows, other, ["key"], "n", how).collect())
+        assert got == [(k, "x") for k in range(5)] + [(5, "y"), (6, "z"), (7, "y")] + missing
