@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE
+from ..plans.tables import cut, join_counted
 from .arrow import slices
 
 # Unicode code points.
@@ -174,7 +175,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def canonical_values(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(value, canonical) of every distinct word that isn't a usual spelling.
+    """(value, canonical, n) of every distinct word that isn't a usual spelling, with its number of occurrences.
 
     All words of the texts, their look-alikes mapped, are grouped under Spark's UNICODE collation, which heeds accents and case, holds canonically equivalent
     strings equal and ignores invisible characters. Members of a class that are written in the usual way are candidates for its canonical member: the
@@ -187,12 +188,12 @@ def canonical_values(docs: DataFrame, text: str = "text") -> DataFrame:
         """
         WITH words AS (SELECT value, key, form, sum(n) AS n FROM {words} GROUP BY value, key, form),
         members AS (
-          SELECT key, value AS member, n, CAST(NULL AS STRING) AS variant FROM words WHERE value = form
-          UNION ALL SELECT key, form, 0, value FROM words WHERE value <> form),
+          SELECT key, value AS member, n, CAST(NULL AS STRUCT<value: STRING, n: BIGINT>) AS variant FROM words WHERE value = form
+          UNION ALL SELECT key, form, 0, struct(value, n) FROM words WHERE value <> form),
         classes AS (
-          SELECT min_by(member, struct(-n, member)) AS canonical, max(n) AS n, collect_set(variant) AS variants
+          SELECT min_by(member, struct(-n, member)) AS canonical, max(n) AS top, collect_set(variant) AS variants
           FROM members GROUP BY collate(key, 'UNICODE') HAVING count(variant) > 0)
-        SELECT value, min_by(canonical, struct(-n, canonical)) AS canonical FROM classes LATERAL VIEW explode(variants) AS value GROUP BY value""",
+        SELECT v.value, min_by(canonical, struct(-top, canonical)) AS canonical, max(v.n) AS n FROM classes LATERAL VIEW explode(variants) AS v GROUP BY v.value""",
         words=words,
     )
 
@@ -212,8 +213,8 @@ def variant_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -
 
     Null, empty and blank texts hold no words; blank ones may hold a space that counts. A repeated id is given once.
     """
-    found = suspect_values(docs, id, text)
-    by_word = salted(found).join(repeated(canonical_values(docs, text)), ["value", "salt"], "left_semi").select(F.col("id").alias(id))
+    found = cut(suspect_values(docs, id, text))
+    by_word = join_counted(found, cut(canonical_values(docs, text)), ["value"], "n", "inner").select(F.col("id").alias(id))
     return by_word.unionByName(found.where("value is null").select(F.col("id").alias(id))).distinct()
 
 
@@ -233,8 +234,8 @@ def canonical_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     t = F.col("text")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _flagged(it), "id bigint, text string, odd boolean")
     some = rows.where("odd").select(F.xxhash64("id", "text").alias("key"), "id", "text")
-    words = suspect_values(some, "key", "text")
-    found = salted(words).join(repeated(canonical_values(rows)), ["value", "salt"]).groupBy(F.col("id").alias("key")).agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("_new"))
+    words = cut(suspect_values(some, "key", "text"))
+    found = join_counted(words, cut(canonical_values(rows)), ["value"], "n", "inner").groupBy(F.col("id").alias("key")).agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("_new"))
     parts = F.regexp_extract_all(t, F.lit(f"({WHITE}|{'[^' + WHITE[1:]})"), F.lit(1))
     replaced = F.when(F.col("_new").isNull(), t).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at("_new", p), p)), ""))
     done = some.join(found, "key", "left").select("id", F.translate(replaced, SPACES, " " * len(SPACES)).alias("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, join_counted
 from .arrow import slices
 from .confusables import Keys, fold
 from .labels import LANGS, lang_code, source_key
@@ -40,8 +40,6 @@ SHARE = 0.06
 WEIGHT = 2
 #: Lengths from one class of lengths to the next.
 STEP = 1.3
-#: Rows for a hot key: the scores are repeated under so many salts.
-SALTS = 16
 END = ".?!।॥"
 
 folded = Keys(lambda w: fold(w).lower())
@@ -109,7 +107,7 @@ def _odds(p):
 
 
 def _ends_of_contexts(words: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(lang, context, base, threshold, log_odds) of final contexts (lang, context), from the counts of words (lang, w, n, ends)."""
+    """(lang, context, documents, threshold, log_odds) of final contexts (lang, context, documents), from the counts of words (lang, w, n, ends)."""
     of = lambda *by: words.groupBy(*by).agg(F.log((F.sum("ends") + 0.5) / (F.sum(F.col("n") * F.length("w")) + 0.5)).alias("base"))
     # how likely a line's end is after the characters that lines end in: per language, from a row for each character
     chars = words.groupBy("lang", F.expr("right(w, 1)").alias("c")).agg(F.sum("ends").alias("e"), F.sum("n").alias("n"))
@@ -134,11 +132,11 @@ def _ends_of_contexts(words: DataFrame, contexts: DataFrame) -> DataFrame:
     tails = contexts.select("lang", "context", F.explode(F.sequence(F.lit(1), F.length("context"))).alias("k")).withColumn("c", F.expr("right(context, k)"))
     seen = tails.join(model, ["k", "c"]).select("lang", "context", F.struct("k", mixed("ends"), mixed("on")).alias("x"))
     known = seen.groupBy("lang", "context").agg(F.sort_array(F.collect_list("x")).alias("seen"))
-    score = contexts.select("lang", "context").join(known, ["lang", "context"], "left").join(base, "lang", "left")
+    score = contexts.join(known, ["lang", "context"], "left").join(base, "lang", "left")
     start = F.coalesce("base", F.lit(-6.0))
     # from the shortest context to the longest, each share of ends leans on the one before by LEAN places
     share = F.aggregate(F.coalesce("seen", F.array()), F.exp(start) / (1 + F.exp(start)), lambda p, x: (x["ends"] + p * LEAN) / (x["ends"] + x["on"] + LEAN))
-    return score.select("lang", "context", "base", F.coalesce("threshold", start * (1 - WAY)).alias("threshold"), _odds(share).alias("log_odds"))
+    return score.select("lang", "context", "documents", F.coalesce("threshold", start * (1 - WAY)).alias("threshold"), _odds(share).alias("log_odds"))
 
 
 def _length(words):
@@ -147,7 +145,7 @@ def _length(words):
 
 
 def _kinds_of_lines(lines: DataFrame, starts: DataFrame) -> DataFrame:
-    """(first, words, column_odds) of open last lines (first, words, documents), from the counts of first words (w, k, n): k words and open, or 0."""
+    """(first, words, documents, column_odds) of open last lines (first, words, documents), from the counts of first words (w, k, n): k words and open, or 0."""
     total = starts.groupBy(F.col("w").alias("first")).agg(F.sum("n").alias("all"))
     same = starts.where("k > 0").groupBy(F.col("w").alias("first"), F.col("k").alias("words")).agg(F.sum("n").alias("n"))
     # the line itself speaks neither for nor against
@@ -157,7 +155,7 @@ def _kinds_of_lines(lines: DataFrame, starts: DataFrame) -> DataFrame:
     length = rows.groupBy(_length(F.col("words")).alias("length")).agg(F.sum(F.when(recurs, F.col("documents")).otherwise(0)).alias("r"), F.sum("documents").alias("d"))
     length = F.broadcast(length.select("length", ((F.col("r") + 0.5) / (F.col("d") + 1)).alias("r")))  # some fifty rows
     rows = rows.withColumn("length", _length(F.col("words"))).join(length, "length")
-    return rows.select("first", "words", F.log((F.col("n") + WEIGHT * F.col("r")) / (SHARE * F.col("on") + WEIGHT * (1 - F.col("r")))).alias("column_odds"))
+    return rows.select("first", "words", "documents", F.log((F.col("n") + WEIGHT * F.col("r")) / (SHARE * F.col("on") + WEIGHT * (1 - F.col("r")))).alias("column_odds"))
 
 
 def _headlines(finals: DataFrame, starts: DataFrame) -> DataFrame:
@@ -186,15 +184,13 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     counts = cut(counts.groupBy("what", "lang", "w", "k").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
     starts = counts.where("what = 'start'")
     finals = cut(rows.mapInArrow(lambda it: _finals(it), "id bigint, source string, lang string, context string, column string, first string, words int, single boolean"))
-    score = _ends_of_contexts(counts.where("what = 'word'"), finals.groupBy("lang", "context").agg(F.count("*").alias("documents")))
-    kinds = _kinds_of_lines(finals.where("first IS NOT NULL").groupBy("first", "words").agg(F.count("*").alias("documents")), starts)
-    # hot contexts and first words are split by salts
-    finals = finals.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    lines = finals.where("first IS NOT NULL").join(kinds.select("*", each), ["first", "words", "salt"], "left")
+    score = cut(_ends_of_contexts(counts.where("what = 'word'"), finals.groupBy("lang", "context").agg(F.count("*").alias("documents"))))
+    kinds = cut(_kinds_of_lines(finals.where("first IS NOT NULL").groupBy("first", "words").agg(F.count("*").alias("documents")), starts))
+    # hot contexts and first words are joined apart
+    lines = join_counted(finals.where("first IS NOT NULL"), kinds, ["first", "words"], "documents")
     known = cut(finals.where("first IS NULL").withColumn("column_odds", F.lit(None).cast("double")).unionByName(lines))
     heads = F.broadcast(_headlines(known, starts))  # some fifty rows
-    out = known.join(score.select("*", each), ["lang", "context", "salt"], "left").withColumn("length", _length(F.col("words"))).join(heads, "length", "left")
+    out = join_counted(known, score, ["lang", "context"], "documents").withColumn("length", _length(F.col("words"))).join(heads, "length", "left")
     odds = F.when(F.col("column") == "headline", F.col("headline_odds")).when(F.col("column") == "line", F.col("column_odds"))
     natural = (F.col("log_odds") >= F.col("threshold")) | (F.coalesce(odds, F.lit(-1.0)) > 0)
     return out.select(F.col("id").alias(id), "source", "lang", F.col("column").alias("column_kind"), F.round("log_odds", 4).alias("log_odds"), F.round("threshold", 4).alias("threshold"), F.round(odds, 4).alias("column_odds"), (~natural).alias("cut"), "context", "first", "words")

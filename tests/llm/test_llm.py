@@ -11,7 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+
 from corpusloom.llm import budget, confusables, langid, mixing, neardup, packing, termfreq, tiling, truncation
+from corpusloom.plans import tables
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, domain string, shard int, fetched_at timestamp, loaded_at timestamp, id int, n int, words string, value string, key string, tokens string, bag string, rep int, start int"
 
@@ -342,11 +344,14 @@ def test_fold_is_stable(s):
     assert unicodedata.normalize("NFC", once) == once or not confusables._suspect.search(s)
 
 
-def test_variants(spark, odd, none):
+def test_variants(spark, odd, none, monkeypatch):
     d = table(spark, [(1, "kаrfоѕ x", None, None), (2, "a\u00a0b", None, None), (3, "plain  text\n", None, None), (4, "ఫోన్‌లు α", None, None), (5, "karfos", None, None), (6, None, None, None), (7, "café ఫోన్​లు", None, None)])
     assert {r[0] for r in confusables.variant_documents(d).collect()} == {1, 2, 7}
     t = {r["doc_id"]: r["text"] for r in confusables.canonical_texts(d).collect()}
     assert t == {1: "karfos x", 2: "a b", 3: "plain  text\n", 4: "ఫోన్‌లు α", 5: "karfos", 6: None, 7: "café ఫోన్లు"}
+    monkeypatch.setattr(tables, "HOT", 0)
+    assert {r[0] for r in confusables.variant_documents(d).collect()} == {1, 2, 7}
+    assert {r["doc_id"]: r["text"] for r in confusables.canonical_texts(d).collect()} == t
     assert {r[0] for r in confusables.variant_documents(odd).collect()} == {7}
     assert confusables.variant_documents(none).count() == 0 and confusables.canonical_texts(none).count() == 0
 
@@ -502,7 +507,7 @@ def test_cut_texts(spark, odd, none):
     assert sorted(x["doc_id"] or 0 for x in truncation.judged(odd).collect()) == [0, 4, 4, 5, 6]
 
 
-def test_kinds_of_last_lines(spark):
+def test_kinds_of_last_lines(spark, monkeypatch):
     """Rare kinds of last lines are known by their length, sentences by their first word, and headlines by their number: no count is a limit."""
     r = random.Random(4)
     words = ["".join(r.choice("aeioubcdfg") for _ in range(6)) for _ in range(120)]
@@ -515,6 +520,8 @@ def test_kinds_of_last_lines(spark):
     found = {x["doc_id"]: x for x in truncation.judged(table(spark, rows)).collect()}
     n = len(texts) + len(byline)
     assert {k for k, x in found.items() if x["cut"]} == set(range(n, n + len(opened)))
+    monkeypatch.setattr(tables, "HOT", 3)
+    assert {k: x["cut"] for k, x in found.items()} == {x["doc_id"]: x["cut"] for x in truncation.judged(table(spark, rows)).collect()}
     assert all(x["column_kind"] == "line" for k, x in found.items() if 120 <= k < n)
 
 
