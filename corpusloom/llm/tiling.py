@@ -146,11 +146,12 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, id: str = "doc_
     """
     spark, found = docs.sparkSession, None
     items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    many = max(1, -(-items.count() // ITEMS))
+    first = items.limit(ITEMS + 1).collect()
+    many = 1 if len(first) <= ITEMS else -(-items.count() // ITEMS)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(many))
     for k in range(many):
         # the blocks are hashed, so one may hold a few more items than ITEMS; a block is on the driver only while it is sent
-        block = [(r[0], coded(r[1]).tobytes()) for r in items.where(part == k).collect()]
+        block = [(r[0], coded(r[1]).tobytes()) for r in (first if many == 1 else items.where(part == k).collect())]
         sent = spark.sparkContext.broadcast(sorted(((i, x) for i, x in block if x), key=lambda t: (t[0] is None, t[0] or 0, t[1])))
         rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it, sent=sent: _search(it, sent.value, share), "doc_id bigint, item_id bigint, words int, covered int, longest int, tiles int")
         found = rows if found is None else found.unionByName(rows)
