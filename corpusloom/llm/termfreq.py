@@ -22,7 +22,7 @@ from .arrow import slices
 #: Terms after which a block hands over its arrays: bounds the memory of a task, not the result.
 BLOCK_TERMS = 400_000
 #: Identifiers in a range whose arrays are summed together: of a given dictionary, and of the collection's own (terms of blocks, on average).
-RANGE, RANGE_TERMS = 1024, 400_000
+RANGE, RANGE_TERMS = 1024, 150_000
 #: Entries of a dictionary that is sent to all tasks; a larger one is joined to the collection's own terms.
 MOST_GIVEN = 2_000_000
 
