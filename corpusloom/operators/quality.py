@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..plans.tables import cut, small
+from ..plans.tables import cut, join_counted, small
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -45,8 +45,10 @@ def unigram_loss(docs: DataFrame, counted: DataFrame, name: str) -> DataFrame:
     The counts are those of a teacher or a student; a token that they lack has count 0. The distinct pieces of a document are weighted by their number.
     """
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count("*").alias("types"))
-    own = docs.where("text IS NOT NULL").select("doc_id", F.explode(t.pieces(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("m"))
-    bits = own.join(counted, "token", "left").crossJoin(F.broadcast(total))  # one row
+    own = cut(docs.where("text IS NOT NULL").select("doc_id", F.explode(t.pieces(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("m")))
+    # tokens of many documents are joined apart
+    rows = own.groupBy("token").agg(F.count("*").alias("rows")).join(counted, "token", "left")
+    bits = join_counted(own, cut(rows), ["token"], "rows").crossJoin(F.broadcast(total))  # one row
     cost = F.log2((F.col("all") + F.col("types") + 1) / (F.coalesce("n", F.lit(0)) + 1))
     return bits.groupBy("doc_id").agg(F.round(F.sum(F.col("m") * cost) / F.sum("m"), 6).alias(name))
 

@@ -415,7 +415,7 @@ def bpe_encode(s, d):
 def _pipeline(s: SparkSession, d: str) -> DataFrame:
     """Documents segmented, encoded by the vocabulary of their own segments: (doc_id, ids) in order of the ids, each with <eos>."""
     seg = _segmented(pack.by_ranges(_docs(s, d).select("doc_id", "text"))).select("doc_id", F.array_join("tokens", " ").alias("text"))
-    ids = _vocab(s, d).select("token", "id")
+    ids = cut(_vocab(s, d).select("token", "id"))
     encode.checked(ids.count())
     e = encode.Encoder({r["token"]: r["id"] for r in ids.collect()})
     return pack.with_eos(encode.encoded(seg, e))
@@ -440,8 +440,9 @@ def pipeline_learned(s, d):
     seg = cut(segment.segment_texts(docs, segment.train(cut(counts.core_word_counts(docs)))))
     tokens = cut(counts.token_counts(seg))
     merges, symbols = bpe.train(counts.other_counts(tokens).withColumnRenamed("base", "word"))
-    ids = vocab.vocab_ids(counts.core_counts(tokens), symbols.select(F.col("subword").alias("token"), F.col("frequency").alias("n")))
-    ids = {r["token"]: r["id"] for r in ids.select("token", "id").collect()}  # its size is checked when it is sent
+    ids = cut(vocab.vocab_ids(counts.core_counts(tokens), symbols.select(F.col("subword").alias("token"), F.col("frequency").alias("n"))))
+    encode.checked(ids.count())
+    ids = {r["token"]: r["id"] for r in ids.select("token", "id").collect()}
     e = encode.Encoder(ids, [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()])
     text = seg.select("doc_id", F.array_join("tokens", " ").alias("text"))
     return encode.encoded(text, e, eos=3).select("doc_id", _shown(F.col("ids")).alias("ids"))

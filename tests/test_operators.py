@@ -234,7 +234,7 @@ def test_offsets_over_odd_rows(spark):
 
 def test_pipeline_round_trip(spark, tmp_path):
     """What the learned pipeline encodes comes back, white space aside, for words whose letters the vocabulary holds."""
-    texts = ["గ్రామం గ్రామంలో IPLలో పుస్తకం", "గ్రామంలో పుస్తకం the the 2024లో", None, "  ", "పుస్తకం the గ్రామం"]
+    texts = ["గ్రామం గ్రామంలో GSMను పుస్తకం", "గ్రామంలో పుస్తకం the the 1975కి", None, "  ", "పుస్తకం the గ్రామం"]
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts * 4)], "doc_id bigint, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     seg = segment.segment_texts(docs, segment.train(counts.core_word_counts(docs)))
