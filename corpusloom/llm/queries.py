@@ -169,9 +169,9 @@ bt AS (SELECT p, sum(n) AS n, sum(u) AS u FROM bj GROUP BY p),
 ru AS (SELECT t, n, u FROM cc UNION ALL SELECT t, n, u FROM rw JOIN bt ON bt.p = rw.b UNION ALL SELECT token, 1, 0 FROM v),
 pt AS (SELECT p, sum(ru.n) AS n, sum(ru.u) AS u FROM rn JOIN ru USING (t) GROUP BY p UNION ALL SELECT p, 1, 0 FROM dp WHERE p IN (SELECT token FROM v)),
 dt AS (SELECT tok.n, sum(pt.n) AS tokens, sum(pt.u) AS unknown FROM tok JOIN pt USING (p) GROUP BY tok.n),
-kd AS (SELECT n, nullif(regexp_replace(lower(trim(source, ' ')), '[-\s]+', '_', 'g'), '') AS source, CASE regexp_replace(lower(trim(lang, ' ')), '_', '-', 'g') {_ALIAS} END AS lang, domain FROM d),
+kd AS (SELECT n, nullif(regexp_replace(lower(trim(source, ' ')), '[-\\s]+', '_', 'g'), '') AS source, CASE regexp_replace(lower(trim(lang, ' ')), '_', '-', 'g') {_ALIAS} END AS lang, domain FROM d),
 ag AS (SELECT source, lang, domain, count(*) AS documents, count(*) FILTER (WHERE tokens > 0) AS with_text, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(unknown), 0) AS BIGINT) AS unknown FROM kd LEFT JOIN dt USING (n) GROUP BY ALL),
-sn AS (SELECT regexp_replace(lower(trim(source, ' ')), '[-\s]+', '_', 'g') AS source, any_value(data_dir) AS data_dir FROM sources GROUP BY 1),
+sn AS (SELECT regexp_replace(lower(trim(source, ' ')), '[-\\s]+', '_', 'g') AS source, any_value(data_dir) AS data_dir FROM sources GROUP BY 1),
 bu AS (SELECT ag.source, data_dir, lang, domain, documents, with_text, tokens, unknown FROM ag LEFT JOIN sn USING (source))
 """
 _SUMS = "CAST(sum(documents) AS BIGINT) AS documents, CAST(sum(with_text) AS BIGINT) AS with_text, CAST(sum(tokens) AS BIGINT) AS tokens"
